@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coalis.sources.tables import table
 
-from . import components, survivorship
+from . import components, nearcopies, survivorship
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.linked_keys(table(spark, sf_dir, "comparisons"), table(spark, sf_dir, "clusters"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.candidate_copies(table(spark, sf_dir, "candidates"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
     "p2_found": p2_found,
+    "p3_found": p3_found,
 }
