@@ -30,4 +30,30 @@ select cluster_id, field_name, cand_id from (
   select *, row_number() over (partition by cluster_id, field_name order by rnk, seen_at desc nulls last, cand_id) as n from f) where n = 1
 """
 
-SQL = {"p1_found": P1}
+_ISSUE = """case when regexp_matches(upper(trim(i, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '^(CVE|CWE|GHSA|RUSTSEC)-')
+  then upper(trim(i, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) else trim(i, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) end"""
+_PARTS = "string_split(regexp_replace(x, '#.*$', ''), '?')"
+_HEAD = f"replace({_PARTS}[1], '/@', '/%40')"
+_QUERY = f"""coalesce('?' || array_to_string(list_sort(list_transform(string_split({_PARTS}[2], '&'),
+  lambda q: lower(string_split(q, '=')[1]) || '=' || string_split(q, '=')[2])), '&'), '')"""
+_CANONICAL = f"""case
+  when x like 'cpe:2.3:%' then lower(x)
+  when x like 'cpe:/%' then 'cpe:2.3:' || lower(substr(x, 6)) || repeat(':*', (11 - len(string_split(substr(x, 6), ':')))::int)
+  when lower(x) like 'pkg:pypi/%' then replace(lower(regexp_replace({_HEAD}, '@[^/]*$', '')), '_', '-') || regexp_extract({_HEAD}, '@[^/]*$') || {_QUERY}
+  when regexp_matches(lower(x), '^pkg:(npm|github|deb)/') then lower(regexp_replace({_HEAD}, '@[^/]*$', '')) || regexp_extract({_HEAD}, '@[^/]*$') || {_QUERY}
+  else lower(regexp_extract(x, '^pkg:[^/]*')) || regexp_replace({_HEAD}, '^pkg:[^/]*', '') || {_QUERY} end"""
+
+
+def _pairs(name: str, batch: str) -> str:
+    return f"""select cand_id, {batch} as b, partition, kind, {_ISSUE} as issue, {_CANONICAL} as subject
+  from (select cand_id, {batch}, partition, kind, i, unnest(subject_ids) as x from (select *, unnest(issue_ids) as i from {name}))
+  where partition is not null and kind.tag is not null and {_ISSUE} <> '' and x is not null"""
+
+
+P5 = f"""
+with a as ({_pairs('candidates', '0')} union all {_pairs('incoming_candidates', 'batch_no')})
+select n.cand_id, min(o.cand_id) as accepted_id from a n join a o
+on n.partition = o.partition and n.kind is not distinct from o.kind and n.issue = o.issue and n.subject = o.subject and o.b < n.b
+group by 1"""
+
+SQL = {"p1_found": P1, "p5_found": P5}

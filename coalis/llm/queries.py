@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coalis.sources.tables import table
 
-from . import components, nearcopies, survivorship
+from . import components, incremental, nearcopies, survivorship
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.candidate_copies(table(spark, sf_dir, "candidates"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.repeated(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "incoming_candidates"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p5_found": p5_found,
 }
