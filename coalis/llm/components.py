@@ -7,13 +7,16 @@ moves sixteen bytes an edge and the smallest long is the smallest key.
   neighbours;
 * small-star: every node u links its smaller neighbours and itself to the smallest of them.
 
-Both are one grouped minimum and one join back to the edges.  The minimum is combined on
+A group is final once it is one star (its root's neighbours have no other neighbour, which
+the per-node degrees tell); its edges leave the loop, so rounds after the first ones only
+carry the groups with long chains.
+
+Both rewrites are one grouped minimum and one join back to the edges.  The minimum is combined on
 the map side.  For the join back a node of high degree would gather its edges in one task,
 so the minima of such nodes are broadcast: a node is hot from 1/``HOT_PARTS`` of the edges
 on, which bounds the number of hot nodes by 2 * ``HOT_PARTS`` whatever the input.  All
 other nodes shuffle.  Every round is written to the shared folder (no lineage grows, lost
-executors cost only their tasks).  The loop ends when a round changes nothing: every edge
-then points straight to its group's smallest key.
+executors cost only their tasks).  The loop ends when no edge is left to change.
 
 Defined cases: null ends and self-links are ignored, repeated links count once, an empty
 input gives an empty result, other columns are ignored.
@@ -31,10 +34,6 @@ from coalis.sources.scratch import Scratch
 HOT_PARTS = 2000
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "m")), F.bit_xor("m")).first()
-
-
 def connected(edges: DataFrame, left: str = "left", right: str = "right", name: str = "components") -> DataFrame:
     """(key, group_key) for every key linked to another one; ``group_key`` is the smallest key of its group.
 
@@ -56,25 +55,33 @@ def connected(edges: DataFrame, left: str = "left", right: str = "right", name:
         "round0",
     )
     scratch.drop("links")
-    state, turn = _state(current), 0
-    while state[0]:
+    finished, open_edges, turn = None, current.count(), 0
+    while open_edges:
         turn += 1
-        limit = max(state[0] // HOT_PARTS, 1000)
+        limit = max(open_edges // HOT_PARTS, 1000)
         # large-star: the minimum runs over u and all its neighbours; only the larger ones are rewritten
         both = current.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("m").alias("u"), F.col("a").alias("v")))).alias("e"))
         both = both.select("e.u", "e.v")
         minima = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"minima{turn}")
-        large = attach(both.where("v > u"), ["u"], minima, limit).select(F.col("v").alias("a"), "m").distinct()
+        # a root whose neighbours all have no other neighbour is a whole group: its edges are final
+        leaves = minima.where("n = 1 and m < u").groupBy("m").agg(F.count("*").alias("leaves"))
+        stars = leaves.join(minima.where("u = m").select(F.col("u").alias("m"), "n"), "m").where("leaves = n").select(F.col("m").alias("u"), F.lit(True).alias("star"))
+        flagged = minima.where("n > 1 or u = m").join(stars, "u", "left").select("u", "m", F.coalesce("star", F.lit(False)).alias("star"), "n")
+        flagged = scratch.write(flagged, f"flagged{turn}")
+        large = attach(both.where("v > u"), ["u"], flagged, limit).select(F.col("v").alias("a"), "m", "star")
         large = scratch.write(large, f"large{turn}")
+        final = scratch.write(large.where("star").select("a", "m"), f"final{turn}")
+        finished = final if finished is None else finished.unionByName(final)
         # small-star: every row (a, m) of a node a holds one of its smaller neighbours
-        lows = scratch.write(large.groupBy("a").agg(F.min("m").alias("m"), F.count("*").alias("n")), f"lows{turn}")
-        others = attach(large.withColumnRenamed("m", "x"), ["a"], lows, limit).where("x > m").select(F.col("x").alias("a"), "m")
+        rest = large.where("not star").select("a", "m")
+        lows = scratch.write(rest.groupBy("a").agg(F.min("m").alias("m"), F.count("*").alias("n")), f"lows{turn}")
+        others = attach(rest.withColumnRenamed("m", "x"), ["a"], lows, limit).where("x > m").select(F.col("x").alias("a"), "m")
         current = scratch.write(others.unionByName(lows.select("a", "m")).distinct(), f"round{turn}")
-        before, state = state, _state(current)
-        scratch.drop(f"round{turn - 1}", f"minima{turn}", f"large{turn}", f"lows{turn}")
-        if before == state:
-            break
-    roots = current.join(keys.select(F.col("id").alias("m"), F.col("key").alias("group_key")), "m")
+        open_edges = current.count()
+        scratch.drop(f"round{turn - 1}", f"minima{turn}", f"flagged{turn}", f"large{turn}", f"lows{turn}")
+    if finished is None:
+        return keys.select("key", F.col("key").alias("group_key"))
+    roots = finished.join(keys.select(F.col("id").alias("m"), F.col("key").alias("group_key")), "m")
     members = keys.join(roots.select(F.col("a").alias("id"), "group_key"), "id").select("key", "group_key")
     return members.unionByName(roots.select(F.col("group_key").alias("key"), "group_key").distinct())
 
