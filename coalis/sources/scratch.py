@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import ship
+
 _local: list[str] = []
 
 
@@ -40,6 +42,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/coalis-{name}-{uuid.uuid4().hex[:12]}"
 
