@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coalis.sources.tables import table
 
-from . import components, incremental, nearcopies, survivorship
+from . import components, incremental, mixing, nearcopies, packing, survivorship, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,40 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.repeated(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "incoming_candidates"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
