@@ -28,7 +28,6 @@ give an empty result; other columns are ignored; very long texts are used whole.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -40,13 +39,11 @@ from pyspark.sql import types as T
 
 from coalis.sources.scratch import Scratch, small_or_shuffled
 
-TRIES, BITS, ERRORS, TOTAL_ERRORS = 8, 24, 2, 44
-NODE_ROWS = 4096
+TRIES, BITS, ERRORS, TOTAL_ERRORS = 8, 24, 2, 38
+NODE_ROWS = 16384
 SHOWN = 64
 WORDS = TRIES * BITS // 64
 
-_GATHER = 1 << 21
-
 
 def bag(*texts: Column) -> Column:
     """The sorted words of several texts in one string; empty if they say nothing."""
@@ -64,10 +61,11 @@ def _trigrams(word: str) -> tuple[str, ...]:
 
 def features(text: str) -> frozenset:
     """Numbered trigrams of a bag: the n-th repeat of a trigram is a feature of its own."""
-    seen: Counter = Counter()
-    for word in text.split(" "):
-        seen.update(_trigrams(word))
-    return frozenset((g, i) for g, n in seen.items() for i in range(n))
+    grams = [g for word in text.split(" ") for g in _trigrams(word)]
+    once = frozenset(grams)
+    if len(once) == len(grams):
+        return once
+    return once | {(g, i) for g, n in Counter(grams).items() if n > 1 for i in range(1, n)}
 
 
 def jaccard(a: frozenset, b: frozenset) -> float:
@@ -77,57 +75,50 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 
 
 @lru_cache(1)
-def _hashers():
-    rng = np.random.default_rng(20240229)
-    n = TRIES * BITS
-    return rng.integers(1, 2**63, n, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, n, dtype=np.uint64)
+def _hashes() -> np.ndarray:
+    """uint16 (2**16, bits): the value every hash function gives every trigram code."""
+    return np.random.default_rng(20240229).integers(0, 1 << 16, (1 << 16, TRIES * BITS), dtype=np.uint16)
+
+
+def _grouped_minima(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Row i: the minimum over ``table[codes[starts[i] : starts[i] + sizes[i]]]``, rows of one size at a time."""
+    out = np.empty((len(starts), table.shape[1]), table.dtype)
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+    for alike in np.split(order, cuts):
+        for at in range(0, len(alike), 2048):
+            rows = alike[at : at + 2048]
+            first, size = starts[rows], int(sizes[rows[0]])
+            if len(rows) * 64 < size:  # few and long: in steps along each
+                for r, f in zip(rows.tolist(), first.tolist(), strict=True):
+                    steps = [table[codes[i : min(i + 8192, f + size)]].min(axis=0) for i in range(f, f + size, 8192)]
+                    out[r] = np.min(steps, axis=0)
+                continue
+            least = table[codes[first]]
+            for k in range(1, size):
+                np.minimum(least, table[codes[first + k]], out=least)
+            out[rows] = least
+    return out
 
 
 def _word_minima(words: list[str]) -> np.ndarray:
-    """For every word the minimum of each hash over its trigrams."""
-    a, b = _hashers()
-    grams = [_trigrams(w) for w in words]
-    starts = np.cumsum([0] + [len(g) for g in grams[:-1]])
-    codes = np.array([zlib.crc32(g.encode()) for gs in grams for g in gs], np.uint64)
-    codes = (codes ^ (codes >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
-    out = np.empty((len(words), len(a)), np.uint32)
-    step = max(_GATHER // len(a), 1)
-    lo = 0
-    while lo < len(words):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step, "right")) - 1)
-        end = starts[hi] if hi < len(words) else len(codes)
-        part = codes[starts[lo] : end]
-        hashed = ((part[:, None] * a + b) >> np.uint64(32)).astype(np.uint32)
-        out[lo:hi] = np.minimum.reduceat(hashed, starts[lo:hi] - starts[lo], axis=0)
-        lo = hi
-    return out
+    """For every word the minimum of each hash over its padded trigrams."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    mixed = points[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ points[2:] * np.uint64(0x165667B19E3779F9)
+    codes = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64)
+    starts = np.cumsum(lengths + 2) - (lengths + 2)
+    return _grouped_minima(_hashes(), codes, starts, lengths)
 
 
 def fingerprints(bags: list[str]) -> np.ndarray:
     """uint64 array (rows, WORDS) of 1-bit minhashes; bags must not be empty."""
-    split = [sorted(set(t.split(" "))) for t in bags]
+    split = [set(t.split(" ")) for t in bags]
     index: dict[str, int] = {}
-    codes = [index.setdefault(w, len(index)) for ws in split for w in ws]
-    minima = _word_minima(list(index))
-    starts = np.cumsum([0] + [len(ws) for ws in split[:-1]])
-    codes = np.array(codes)
-    n = TRIES * BITS
-    out = np.empty((len(bags), WORDS), np.uint64)
-    step, lo = max(_GATHER // n, 1), 0
-    while lo < len(bags):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step, "right")) - 1)
-        end = starts[hi] if hi < len(bags) else len(codes)
-        least = np.full((hi - lo, n), np.iinfo(np.uint32).max, np.uint32)
-        for at in range(starts[lo], end, step):  # one very long text is taken in steps
-            stop = min(at + step, end)
-            first = int(np.searchsorted(starts, at, "right")) - 1
-            last = int(np.searchsorted(starts, stop - 1, "right")) - 1
-            cuts = np.maximum(starts[first : last + 1], at) - at
-            least[first - lo : last + 1 - lo] = np.minimum(least[first - lo : last + 1 - lo], np.minimum.reduceat(minima[codes[at:stop]], cuts, axis=0))
-        bits = (least & 1).astype(np.uint8)
-        out[lo:hi] = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
-        lo = hi
-    return out
+    codes = np.array([index.setdefault(w, len(index)) for ws in split for w in ws])
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    least = _grouped_minima(_word_minima(list(index)), codes, np.cumsum(sizes) - sizes, sizes)
+    return np.packbits((least & 1).astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
 
 
 _SIGNATURE = T.StructType([T.StructField(f"s{i}", T.LongType()) for i in range(WORDS)])
@@ -296,7 +287,7 @@ def _tasks(classes: DataFrame) -> DataFrame:
     whole = classes.join(lone, "gkey", "left_semi").select(
         F.col("gkey").alias("task"), F.lit(0).alias("pair"), F.lit(-1).alias("trie"), F.lit(0).alias("depth"), F.lit(0).alias("side"), "rep", *signs
     )
-    depth = F.least(F.ceil(F.log2(F.col("size") / NODE_ROWS)).cast("int") + 1, F.lit(MAX_DEPTH))
+    depth = F.least(F.ceil(F.log2(F.col("size") / NODE_ROWS)).cast("int"), F.lit(MAX_DEPTH))
     cut = classes.join(large, "gkey").select("gkey", depth.alias("depth"), "rep", *signs)
     cut = cut.select("*", F.posexplode(F.array(*[_top(t) for t in range(TRIES)])).alias("trie", "block"))
     cut = cut.withColumn("node", F.expr(f"cast(shiftright(block, {BITS} - depth) as int)"))
@@ -359,8 +350,8 @@ def near_copies(records: DataFrame, record_id: str, group: list[Column], texts:
     scratch = Scratch(records.sparkSession, "nearcopies")
     group_id = F.xxhash64(*[x for g in group for x in (g, g.isNull())])
     said = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).alias("id"), group_id.alias("gkey"), bag(*texts).alias("bag")).where("bag <> ''")
-    rows = said.select("id", "gkey", F.xxhash64("bag").alias("d1"), F.xxhash64(F.lit(1), "bag").alias("d2"), _signature("bag").alias("s"))
-    rows = scratch.write(rows.select("id", "gkey", "d1", "d2", "s.*"), "rows")
+    rows = said.select("id", "gkey", "bag", F.xxhash64("bag").alias("d1"), F.xxhash64(F.lit(1), "bag").alias("d2"), _signature("bag").alias("s"))
+    rows = scratch.write(rows.select("id", "gkey", "bag", "d1", "d2", "s.*"), "rows")
     signs = [f"s{i}" for i in range(WORDS)]
     classes = rows.groupBy("gkey", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *[F.min(s).alias(s) for s in signs])
     classes = scratch.write(classes, "classes")
@@ -368,7 +359,7 @@ def near_copies(records: DataFrame, record_id: str, group: list[Column], texts:
     tasks = _tasks(classes)
     found = tasks.groupBy("task", "pair").applyInArrow(_task, "a long, b long").where("a <> b").distinct()
     found = scratch.write(found, "found")
-    bags = said.select("id", "gkey", "bag")
+    bags = rows.select("id", "gkey", "bag")
     left = bags.select(F.col("id").alias("a"), F.col("gkey").alias("ga"), F.col("bag").alias("ba"))
     right = bags.select(F.col("id").alias("b"), F.col("gkey").alias("gb"), F.col("bag").alias("bb"))
     same = found.join(left, "a").join(right, "b").where("ga = gb").where(_verifier(threshold)("ba", "bb")).select("a", "b")
