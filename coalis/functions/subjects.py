@@ -125,3 +125,7 @@ def _subjects_udf(lists: pa.Array) -> pa.Array:
 def parse_subjects(column: Column) -> Column:
     """array<string> -> array<SUBJECT>, one entry per raw subject, errors included."""
     return _subjects_udf(column)
+
+
+# A projection over a Python function's result must not be merged into one that feeds another.
+_subjects_udf = _subjects_udf.asNondeterministic()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import hot
+from . import hot, reference
 
-QUERIES = {**hot.QUERIES}
-SQL = {**hot.SQL}
-FLAGSHIP = "p4_found"
+QUERIES = {**reference.QUERIES, **hot.QUERIES}
+SQL = {**reference.SQL, **hot.SQL}
+FLAGSHIP = "compare_blocks"
