@@ -46,7 +46,9 @@ _SENTENCE = rf"(?<=[.!?…])\s*{_CLOSE}*\s+"
 _NOTE = r"(\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|[:;]-?[)(]|[\p{So}\p{Sk}\p{Sm}\p{Sc}*_~|#]+)$"
 _ATTRIBUTION = r"\s[–—-]{1,3}\s+\p{Lu}[\p{L}\p{M}]+$"
 _LIST_MARK = r"^([-•*–]\s+|\(?\d{1,4}[.)]\s+)"
-_WORD = r"[\p{L}\p{N}\p{M}][\p{L}\p{N}\p{M}’'-]*"
+_BETWEEN = r"(?:[^\p{L}\p{N}\p{M}’'-]|[’'-](?![\p{L}\p{N}\p{M}])|(?<![\p{L}\p{N}\p{M}])[’'-])+"
+
+_FIRST, _OPEN = "\u0001", "\u0002"
 
 #: Occurrences from which a word's statistics count.
 LEAST = 20
@@ -151,22 +153,23 @@ def trimmed(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), 1)
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
 def word_statistics(bodies: DataFrame) -> DataFrame:
     """(word, n, inner, ends, p1, p2, p3, lines, ...): counts over all sentences of ``body``.
 
-    ``inner`` leaves out each text's very last word, ``ends`` counts last words of finished
+    ``inner`` leaves out the last words of unfinished texts, ``ends`` counts last words of finished
     sentences, ``p1`` to ``p3`` occurrences at that place of a finished sentence, ``lines``
     occurrences in texts that are one unfinished sentence.
     """
-    parts = bodies.select(F.posexplode(F.split("body", _SENTENCE)).alias("at", "sentence"), F.size(F.split("body", _SENTENCE)).alias("of"), "finished")
-    parts = parts.withColumn("last", F.col("at") == F.col("of") - 1).withColumn("whole", ~F.col("last") | F.col("finished"))
-    parts = parts.withColumn("line", (F.col("of") == 1) & ~F.col("finished"))
-    tokens = parts.select(_words(F.col("sentence")).alias("w"), "last", "whole", "line").where(F.size("w") > 0)
-    digits = F.exists(F.slice("w", 1, 2), lambda x: x.rlike("^[0-9]"))
-    each = tokens.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("of"), "last", "whole", "line", digits.alias("digits"))
+    # marks at both ends of a body tell its first and its unfinished last sentence after the split
+    marked = F.concat(F.lit(_FIRST), "body", F.when(F.col("finished"), "").otherwise(_OPEN))
+    parts = bodies.select(F.explode(F.split(marked, _SENTENCE)).alias("sentence"))
+    whole = ~F.endswith("sentence", F.lit(_OPEN))
+    tokens = parts.select(_words(F.col("sentence")).alias("w"), whole.alias("whole"), (~whole & F.startswith("sentence", F.lit(_FIRST))).alias("line")).where(F.size("w") > 0)
+    digits = F.coalesce(F.get("w", F.lit(0)) < ":", F.lit(False)) | F.coalesce(F.get("w", F.lit(1)) < ":", F.lit(False))  # ASCII digits sort before the colon
+    each = tokens.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("of"), "whole", "line", digits.alias("digits"))
     ending = F.col("at") == F.col("of") - 1
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return (
@@ -174,7 +177,7 @@ def word_statistics(bodies: DataFrame) -> DataFrame:
         .groupBy("word")
         .agg(
             F.count("*").alias("n"),
-            one(~(ending & F.col("last") & ~F.col("whole"))).alias("inner"),
+            one(~ending | F.col("whole")).alias("inner"),
             one(F.col("whole")).alias("whole_n"),
             one(F.col("whole") & ending).alias("ends"),
             one(F.col("whole") & (F.col("at") == 1) & ~ending).alias("p1"),
