@@ -144,7 +144,7 @@ def share_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     got = uses.groupBy("source").agg(F.sum("n").alias("n_tokens"), F.sum("uses").alias("n_records"), F.max("uses").alias("max_used"))
     every = Window.partitionBy(F.lit(0))  # one row per target
     return (
-        targets.select("source", "target_share")
+        targets.groupBy("source").agg(F.max("target_share").alias("target_share"))
         .join(got, "source", "left")
         .withColumn("all", F.sum("n_tokens").over(every))
         .select(
