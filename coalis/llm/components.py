@@ -46,16 +46,15 @@ def connected(edges: DataFrame, left: str = "left", right: str = "right", name:
         .distinct(),
         "links",
     )
-    keys = links.select(F.explode(F.array("l", "r")).alias("key")).distinct().sort("key")
-    keys = scratch.write(keys.select("key", F.monotonically_increasing_id().alias("id")), "keys")
-    current = scratch.write(
-        links.join(keys.select(F.col("key").alias("l"), F.col("id").alias("m")), "l")
-        .join(keys.select(F.col("key").alias("r"), F.col("id").alias("a")), "r")
-        .select("a", "m"),
-        "round0",
-    )
+    keys = links.select(F.explode(F.array("l", "r")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).sort("key")
+    keys = scratch.write(keys.select("key", F.monotonically_increasing_id().alias("id"), "n"), "keys")
+    open_edges = links.count()
+    limit = max(open_edges // HOT_PARTS, 1000)
+    lower = attach(links, ["l"], keys.select(F.col("key").alias("l"), F.col("id").alias("m"), "n"), limit)
+    both_ids = attach(lower, ["r"], keys.select(F.col("key").alias("r"), F.col("id").alias("a"), "n"), limit)
+    current = scratch.write(both_ids.select("a", "m"), "round0")
     scratch.drop("links")
-    finished, open_edges, turn = None, current.count(), 0
+    finished, turn = None, 0
     while open_edges:
         turn += 1
         limit = max(open_edges // HOT_PARTS, 1000)
@@ -81,9 +80,11 @@ def connected(edges: DataFrame, left: str = "left", right: str = "right", name:
         scratch.drop(f"round{turn - 1}", f"minima{turn}", f"flagged{turn}", f"large{turn}", f"lows{turn}")
     if finished is None:
         return keys.select("key", F.col("key").alias("group_key"))
-    roots = finished.join(keys.select(F.col("id").alias("m"), F.col("key").alias("group_key")), "m")
-    members = keys.join(roots.select(F.col("a").alias("id"), "group_key"), "id").select("key", "group_key")
-    return members.unionByName(roots.select(F.col("group_key").alias("key"), "group_key").distinct())
+    sizes = finished.groupBy("m").agg(F.count("*").alias("n"))
+    roots = scratch.write(sizes.join(keys.select(F.col("id").alias("m"), F.col("key").alias("group_key")), "m"), "roots")
+    named = attach(finished, ["m"], roots, max(keys.count() // HOT_PARTS, 1000)).select(F.col("a").alias("id"), "group_key")
+    members = keys.join(named, "id").select("key", "group_key")
+    return members.unionByName(roots.select(F.col("group_key").alias("key"), "group_key"))
 
 
 def latest_duplicates(comparisons: DataFrame) -> DataFrame:

@@ -37,11 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coalis.operators.skew import attach
 from coalis.sources.scratch import Scratch, small_or_shuffled
 
 TRIES, BITS, ERRORS, TOTAL_ERRORS = 8, 24, 2, 38
 NODE_ROWS = 16384
 SHOWN = 64
+#: A class with at least this part of all rows is attached by broadcast.
+HOT_PARTS = 2000
 WORDS = TRIES * BITS // 64
 
 
@@ -284,7 +287,8 @@ def _tasks(classes: DataFrame) -> DataFrame:
     large = small_or_shuffled(sizes.where(F.col("size") > NODE_ROWS).select("gkey", "size"))
     signs = [f"s{i}" for i in range(WORDS)]
     lone = sizes.where(F.col("size") <= NODE_ROWS).select("gkey")
-    whole = classes.join(lone, "gkey", "left_semi").select(
+    rest = classes.join(large.select("gkey"), "gkey", "left_anti")  # a hot group never meets the shuffled join
+    whole = rest.join(lone, "gkey", "left_semi").select(
         F.col("gkey").alias("task"), F.lit(0).alias("pair"), F.lit(-1).alias("trie"), F.lit(0).alias("depth"), F.lit(0).alias("side"), "rep", *signs
     )
     depth = F.least(F.ceil(F.log2(F.col("size") / NODE_ROWS)).cast("int"), F.lit(MAX_DEPTH))
@@ -365,7 +369,8 @@ def near_copies(records: DataFrame, record_id: str, group: list[Column], texts:
     same = found.join(left, "a").join(right, "b").where("ga = gb").where(_verifier(threshold)("ba", "bb")).select("a", "b")
     same = scratch.write(same.distinct(), "same")
 
-    copies = rows.select("id", "gkey", "d1", "d2").join(classes.where("n > 1").select("gkey", "d1", "d2", "rep", "n"), ["gkey", "d1", "d2"]).select("id", "rep", "n")
+    repeated = classes.where("n > 1").select("gkey", "d1", "d2", "rep", "n", F.col("n").alias("weight"))
+    copies = attach(rows.select("id", "gkey", "d1", "d2"), ["gkey", "d1", "d2"], repeated, max(rows.count() // HOT_PARTS, 1000), "weight").select("id", "rep", "n")
     copies = scratch.write(copies, "copies")
     scratch.drop("rows", "found")
     few = copies.where(F.col("n") <= SHOWN).select("rep", "id")
