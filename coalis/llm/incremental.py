@@ -51,8 +51,8 @@ def sort_keys(records: DataFrame, *keep: str) -> DataFrame:
 class SortedRuns:
     """Accepted keys as sorted, range-cut runs in the shared folder."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, range_entries: int = 1 << 20, compact_every: int = 4):
-        self.spark, self.scratch = spark, scratch
+    def __init__(self, spark: SparkSession, scratch: Scratch, key: list[str] | None = None, range_entries: int = 1 << 20, compact_every: int = 4):
+        self.spark, self.scratch, self.key = spark, scratch, key or KEY
         self.range_entries, self.compact_every = range_entries, compact_every
         self.bits = 0
         self.runs: list[tuple[str, int]] = []
@@ -64,17 +64,17 @@ class SortedRuns:
     def _store(self, heads: DataFrame) -> None:
         self.made += 1
         name = f"run{self.made}"
-        sorted_run = heads.select(*KEY, "first_id", self._range().alias("range_no")).repartitionByRange("range_no", *KEY).sortWithinPartitions("range_no", *KEY)
+        sorted_run = heads.select(*self.key, "first_id", self._range().alias("range_no")).repartitionByRange("range_no", *self.key).sortWithinPartitions("range_no", *self.key)
         sorted_run.write.mode("overwrite").partitionBy("range_no").option("compression", "zstd").parquet(self.scratch.path(name))
         self.runs.append((name, self._read(name).count()))
 
     def _read(self, name: str) -> DataFrame:
-        schema = "h1 long, h2 long, h3 long, first_id long, range_no int"
+        schema = "".join(f"{k} long, " for k in self.key) + "first_id long, range_no int"
         return self.spark.read.schema(schema).parquet(self.scratch.path(name))
 
     def load(self, keys: DataFrame) -> None:
         """The first run: all of history, given as (cand_id, key) rows."""
-        heads = self.scratch.write(keys.groupBy(*KEY).agg(F.min("cand_id").alias("first_id")), "history")
+        heads = self.scratch.write(keys.groupBy(*self.key).agg(F.min("cand_id").alias("first_id")), "history")
         entries = heads.count()
         self.bits = min(max(math.ceil(math.log2(max(entries, 1) / self.range_entries)) + 1, 0), 16)
         if entries:
@@ -84,7 +84,7 @@ class SortedRuns:
     def neighbours(self, heads: DataFrame) -> DataFrame:
         """(key, n, accepted_id): for each head the smallest id the runs hold for its key."""
         if not self.runs:
-            return heads.select(*KEY, "n", F.lit(None).cast("long").alias("accepted_id")).where("false")
+            return heads.select(*self.key, "n", F.lit(None).cast("long").alias("accepted_id")).where("false")
         touched = None
         if self.bits:
             touched = [r[0] for r in heads.select(self._range().alias("r")).distinct().collect()]  # at most 2**bits numbers
@@ -93,12 +93,12 @@ class SortedRuns:
             run = self._read(name)
             if touched is not None and len(touched) < 2**self.bits:
                 run = run.where(F.col("range_no").isin(touched))
-            run = run.select(*KEY, "first_id", F.lit(None).cast("long").alias("n"), F.lit(number).alias("run_no"))
+            run = run.select(*self.key, "first_id", F.lit(None).cast("long").alias("n"), F.lit(number).alias("run_no"))
             stored = run if stored is None else stored.unionByName(run)
-        merged = stored.unionByName(heads.select(*KEY, F.lit(None).cast("long").alias("first_id"), "n", F.lit(len(self.runs)).alias("run_no")))
-        before = Window.partitionBy(*KEY).orderBy("run_no").rowsBetween(-len(self.runs), -1)
-        seen = merged.repartitionByRange(*KEY).withColumn("accepted_id", F.min("first_id").over(before))
-        return seen.where("n is not null and accepted_id is not null").select(*KEY, "n", "accepted_id")
+        merged = stored.unionByName(heads.select(*self.key, F.lit(None).cast("long").alias("first_id"), "n", F.lit(len(self.runs)).alias("run_no")))
+        before = Window.partitionBy(*self.key).orderBy("run_no").rowsBetween(-len(self.runs), -1)
+        seen = merged.repartitionByRange(*self.key).withColumn("accepted_id", F.min("first_id").over(before))
+        return seen.where("n is not null and accepted_id is not null").select(*self.key, "n", "accepted_id")
 
     def append(self, heads: DataFrame) -> None:
         self._store(heads)
@@ -108,18 +108,23 @@ class SortedRuns:
             old = self.runs if whole else late
             merged = None
             for name, _ in old:
-                run = self._read(name).select(*KEY, "first_id")
+                run = self._read(name).select(*self.key, "first_id")
                 merged = run if merged is None else merged.unionByName(run)
             self.runs = [] if whole else self.runs[:1]
-            self._store(merged.groupBy(*KEY).agg(F.min("first_id").alias("first_id")))
+            self._store(merged.groupBy(*self.key).agg(F.min("first_id").alias("first_id")))
             self.scratch.drop(*[name for name, _ in old])
 
 
-def repeated(history: DataFrame, incoming: DataFrame, *, range_entries: int = 1 << 20, compact_every: int = 4) -> DataFrame:
-    """(cand_id, accepted_id) of the incoming rows that repeat an accepted one, batch after batch."""
+def repeated(history: DataFrame, incoming: DataFrame, *, key: list[str] | None = None, range_entries: int = 1 << 20, compact_every: int = 4) -> DataFrame:
+    """(cand_id, accepted_id) of the incoming rows that repeat an accepted one, batch after batch.
+
+    ``key`` is the sort key, by default the whole one; a leading part of it finds the rows of
+    one package instead of one version.
+    """
     spark = history.sparkSession
+    key = key or KEY
     scratch = Scratch(spark, "incremental")
-    runs = SortedRuns(spark, scratch, range_entries, compact_every)
+    runs = SortedRuns(spark, scratch, key, range_entries, compact_every)
     runs.load(sort_keys(history, "cand_id"))
     batch_no = F.coalesce(F.col("batch_no"), F.lit(2**31 - 1)).alias("batch_no")
     arrived = incoming.select("cand_id", batch_no, "partition", "kind", "issue_ids", "subject_ids")
@@ -127,11 +132,11 @@ def repeated(history: DataFrame, incoming: DataFrame, *, range_entries: int = 1
     per_batch = {r[0]: r[1] for r in arrived.groupBy("batch_no").count().collect()}  # one row per batch
     found = None
     for batch in sorted(per_batch):
-        rows = arrived.where(F.col("batch_no") == batch).select("cand_id", *KEY)
-        heads = scratch.write(rows.groupBy(*KEY).agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n")), f"heads{batch}")
+        rows = arrived.where(F.col("batch_no") == batch).select("cand_id", *key)
+        heads = scratch.write(rows.groupBy(*key).agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n")), f"heads{batch}")
         hits = scratch.write(runs.neighbours(heads), f"hits{batch}")
         limit = max(per_batch[batch] // 2000, 1000)
-        matched = attach(rows, KEY, hits, limit).groupBy("cand_id").agg(F.min("accepted_id").alias("accepted_id"))
+        matched = attach(rows, key, hits, limit).groupBy("cand_id").agg(F.min("accepted_id").alias("accepted_id"))
         found = matched if found is None else found.unionByName(matched)
         runs.append(heads)
         scratch.drop(f"heads{batch}")
@@ -139,3 +144,13 @@ def repeated(history: DataFrame, incoming: DataFrame, *, range_entries: int = 1
     if found is None:
         return spark.createDataFrame([], "cand_id long, accepted_id long")
     return found
+
+
+def nearly_repeated(history: DataFrame, incoming: DataFrame, *, range_entries: int = 1 << 20, compact_every: int = 4) -> DataFrame:
+    """(cand_id, near_id): incoming rows that repeat none, but have an accepted neighbour of the same issue and package.
+
+    A second pass over runs sorted by the first two parts of the key; version and qualifiers differ.
+    """
+    options = {"range_entries": range_entries, "compact_every": compact_every}
+    near = repeated(history, incoming, key=KEY[:2], **options)
+    return near.join(repeated(history, incoming, **options).select("cand_id"), "cand_id", "left_anti").select("cand_id", F.col("accepted_id").alias("near_id"))

@@ -1,5 +1,8 @@
 """DuckDB SQL for the pN_ queries that SQL can express on whole tables."""
 
+from coalis.plans.hot import ISSUE as _ISSUE
+from coalis.plans.hot import SUBJECT_COORDINATE
+
 from .survivorship import STAND_INS
 
 _WORDS = ", ".join(f"'{w}'" for w in STAND_INS)
@@ -30,8 +33,6 @@ select cluster_id, field_name, cand_id from (
   select *, row_number() over (partition by cluster_id, field_name order by rnk, seen_at desc nulls last, cand_id) as n from f) where n = 1
 """
 
-_ISSUE = """case when regexp_matches(upper(trim(i, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '^(CVE|CWE|GHSA|RUSTSEC)-')
-  then upper(trim(i, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) else trim(i, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) end"""
 _PARTS = "string_split(regexp_replace(x, '#.*$', ''), '?')"
 _HEAD = f"replace({_PARTS}[1], '/@', '/%40')"
 _QUERY = f"""coalesce('?' || array_to_string(list_sort(list_transform(string_split({_PARTS}[2], '&'),
@@ -44,16 +45,27 @@ _CANONICAL = f"""case
   else lower(regexp_extract(x, '^pkg:[^/]*')) || regexp_replace({_HEAD}, '^pkg:[^/]*', '') || {_QUERY} end"""
 
 
-def _pairs(name: str, batch: str) -> str:
-    return f"""select cand_id, {batch} as b, partition, kind, {_ISSUE} as issue, {_CANONICAL} as subject
+def _pairs(name: str, batch: str, subject: str = _CANONICAL) -> str:
+    return f"""select cand_id, {batch} as b, partition, kind, {_ISSUE} as issue, {subject} as subject
   from (select cand_id, {batch}, partition, kind, i, unnest(subject_ids) as x from (select *, unnest(issue_ids) as i from {name}))
   where partition is not null and kind.tag is not null and {_ISSUE} <> '' and x is not null"""
 
 
-P5 = f"""
-with a as ({_pairs('candidates', '0')} union all {_pairs('incoming_candidates', 'batch_no')})
-select n.cand_id, min(o.cand_id) as accepted_id from a n join a o
+def _repeats(subject: str, out: str) -> str:
+    return f"""
+with a as ({_pairs('candidates', '0', subject)} union all {_pairs('incoming_candidates', 'batch_no', subject)})
+select n.cand_id, min(o.cand_id) as {out} from a n join a o
 on n.partition = o.partition and n.kind is not distinct from o.kind and n.issue = o.issue and n.subject = o.subject and o.b < n.b
 group by 1"""
 
-SQL = {"p1_found": P1, "p5_found": P5}
+
+P5 = _repeats(_CANONICAL, "accepted_id")
+P5_NEAR = f"select * from ({_repeats(SUBJECT_COORDINATE, 'near_id')}) where cand_id not in (select cand_id from ({P5}))"
+
+_PICKS = ", ".join(
+    f"max(case when f.field_name = '{f}' then {v} end) as {f}, max(case when f.field_name = '{f}' then f.cand_id end) as {f}_from"
+    for f, v in (("title", "c.title"), ("affected_version", "c.affected_version"), ("source", "trim(c.origin.source, ' ')"))
+)
+P1_GOLDEN = f"with f as ({P1}) select f.cluster_id, {_PICKS} from f join candidates c using (cand_id) group by f.cluster_id"
+
+SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p5_found": P5, "p5_near": P5_NEAR}

@@ -31,6 +31,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.repeated(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "incoming_candidates"))
 
 
+def p5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.nearly_repeated(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "incoming_candidates"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p5_near": p5_near,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p7_mixed": p7_mixed,

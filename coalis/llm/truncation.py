@@ -211,6 +211,7 @@ def judged(documents: DataFrame) -> DataFrame:
         F.col("body").rlike(rf"…\s*{_CLOSE}*$").alias("ellipsis"),
         F.col("body").rlike("[,;:]$|[\\s(«][“„«(\\[]$|&[#\\w]*$|[<\\[(][^<>()\\[\\]]{0,12}$").alias("hanging"),
         F.element_at(_words(F.regexp_replace("body", r"[\s….]+$", "")), -1).alias("word"),
+        F.col("body").rlike(r"(?<![\p{L}\p{N}\p{M}’'-])\p{Lu}[\p{L}\p{N}\p{M}’'-]*[\s….]*$").alias("capital"),
         F.size(F.split(F.regexp_replace("body", _LIST_MARK, ""), _SENTENCE)).alias("sentences"),
         (
             (F.size(F.regexp_extract_all("body", F.lit("[“«„]"), 0)) > 0)
@@ -236,7 +237,8 @@ def judged(documents: DataFrame) -> DataFrame:
     clauses = attach(unclear, ["word"], grade.where("predicate").select("word", "n"), limit).select("doc_id").distinct().withColumn("clause", F.lit(True))
     known = endings.join(last.select("doc_id", "never_last"), "doc_id", "left").join(rare.distinct(), "doc_id", "left").join(clauses, "doc_id", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
-    inside = flag("never_last") | flag("fragment")
+    # a capitalised word may be a name or noun that only happens never to end a sentence
+    inside = (flag("never_last") & ~F.col("capital")) | flag("fragment")
     evidence = (
         F.when(F.col("noted"), WHOLE)
         .when(F.col("finished") & ~F.col("ellipsis"), WHOLE)
