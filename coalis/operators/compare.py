@@ -20,7 +20,7 @@ def _signal(field: str, kind: Column | str, score: Column | int | None) -> Colum
     return F.struct(F.lit(field).alias("field"), kind.alias("kind"), score.cast("int").alias("score")).cast(SIGNAL)
 
 
-def _compatible(a: Column, b: Column) -> Column:
+def details_compatible(a: Column, b: Column) -> Column:
     """Same coordinate and no concrete detail of one contradicts the other."""
     agree = lambda x, y: F.coalesce(x == y, F.lit(True))
     qualifiers = F.forall(F.coalesce(a["qualifiers"], F.array().cast("array<struct<k:string,v:string>>")), lambda q: ~F.exists(F.coalesce(b["qualifiers"], F.array().cast("array<struct<k:string,v:string>>")), lambda p: (p["k"] == q["k"]) & (p["v"] != q["v"])))
@@ -82,7 +82,7 @@ def compare(joined: DataFrame, config: Config = Config()) -> DataFrame:
         (both_issues & ~shared).alias("issue_conflict"),
         exact_subject.alias("exact_subject"),
         coordinate.alias("coordinate"),
-        F.exists(l["details"], lambda a: F.exists(r["details"], lambda b: _compatible(a, b))).alias("compatible"),
+        F.exists(l["details"], lambda a: F.exists(r["details"], lambda b: details_compatible(a, b))).alias("compatible"),
         (some(l, "subject_kinds") & some(r, "subject_kinds") & ~comparable).alias("cross_kind"),
         (shared & comparable & ~coordinate & ~exact_subject).alias("subject_conflict"),
         version.alias("version"),

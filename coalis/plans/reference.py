@@ -13,7 +13,7 @@ from coalis.functions.text import normalize_issue, trim_unicode
 from coalis.operators import blocking as B
 from coalis.operators import candidates as C
 from coalis.operators import cluster as M
-from coalis.operators.compare import compare, join_pairs
+from coalis.operators.compare import compare, details_compatible, join_pairs
 from coalis.sources import wire
 from coalis.sources.tables import table
 
@@ -126,6 +126,22 @@ def cpe_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("p_partkey", "s.canonical")
 
 
+_DETAILS = (
+    ("@1", "@1", True), ("@1", "@2", False), ("", "@2", True), ("@1?arch=x", "@1?arch=y", False), ("@1?arch=x", "@1?os=y", True),
+    ("?arch=x", "", True), ("#a", "#b", False), ("#a", "", True), ("-other@1", "@1", False),
+)
+
+
+@query("with t(n, compatible) as (values " + ", ".join(f"({i}, {str(c).lower()})" for i, (_, _, c) in enumerate(_DETAILS)) + f") select p_partkey, compatible from part join t on n = p_partkey % {len(_DETAILS)}")
+def subject_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two subjects can be one: equal coordinate and no detail of one contradicts the other."""
+    which = (F.col("p_partkey") % len(_DETAILS)).cast("int")
+    name = F.concat(F.lit("pkg:generic/widget-"), F.col("p_partkey"))
+    pair = F.array(*[F.concat(name, F.get(F.array(*[F.lit(d[i]) for d in _DETAILS]), which)) for i in (0, 1)])
+    s = table(spark, sf_dir, "part").select("p_partkey", parse_subjects(pair).alias("s"))
+    return s.select("p_partkey", details_compatible(F.get("s", F.lit(0)), F.get("s", F.lit(1))).alias("compatible"))
+
+
 # ---------------------------------------------------------------- rows and keys
 
 _CONTROL = "regexp_matches({}, '[\\x{{00}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}]')"

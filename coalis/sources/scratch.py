@@ -33,18 +33,34 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+_roots: dict[str, "Scratch"] = {}
+
+
+def close_all() -> None:
+    """Delete every scratch folder of this process; results that still read them end."""
+    while _roots:
+        try:
+            _roots.popitem()[1].close()
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return
+
+
+atexit.register(close_all)
+
+
 class Scratch:
     """One job's folder of written tables.
 
     ``write`` stores a plan and returns it as a scan; ``drop`` removes tables that no
     later plan reads.  What a returned lazy result still reads stays on disk until the
-    folder is removed with the session's scratch folder or by ``close``.
+    folder is removed by ``close``, :func:`close_all` or the end of the process.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/coalis-{name}-{uuid.uuid4().hex[:12]}"
+        _roots[self.root] = self
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,6 +75,7 @@ class Scratch:
             self._delete(self.path(name))
 
     def close(self) -> None:
+        _roots.pop(self.root, None)
         self._delete(self.root)
 
     def _delete(self, path: str) -> None:
