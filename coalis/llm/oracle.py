@@ -68,4 +68,29 @@ _PICKS = ", ".join(
 )
 P1_GOLDEN = f"with f as ({P1}) select f.cluster_id, {_PICKS} from f join candidates c using (cand_id) group by f.cluster_id"
 
-SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p5_found": P5, "p5_near": P5_NEAR}
+P2 = """
+with recursive
+p as (select least(lower(left_key), lower(right_key)) as a, greatest(lower(left_key), lower(right_key)) as b,
+  arg_max(coalesce(lower(trim(decision)) = 'duplicate', false), row(compared_at, comparison_id)) as d from comparisons where lower(left_key) <> lower(right_key) group by 1, 2),
+m as (select list_sort(list_distinct(list_transform(members, lambda x: lower(x)))) as ms from clusters),
+l as (select a, b from p where d union select ms[1], unnest(ms[2:]) from m where len(ms) > 1),
+e as materialized (select a, b from l union select b, a from l),
+cc(k, g) using key (k) as (
+  select a, min(least(a, b)) from e group by a
+  union
+  select e.a, min(cc.g) from cc join e on e.b = cc.k join recurring.cc as old on old.k = e.a where cc.g < old.g group by e.a)
+select k as occurrence_key, g as group_key from cc"""
+
+# Every pair with a common trigram is counted here, which only small tables allow.
+P3 = r"""
+with w as (select cand_id, partition, kind, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', title, array_to_string(subject_names, ' '), location)), '\p{Cf}+', '', 'g'),
+  '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) as t from candidates where partition is not null and kind.tag is not null),
+x as (select cand_id, partition, kind, unnest(string_split(t, ' ')) as word from w where t <> ''),
+g as (select cand_id, partition, kind, word, unnest(range(1, length(word) + 1)) as i from x),
+f as (select cand_id, partition, kind, gram, row_number() over (partition by cand_id, gram) as n from (select *, substr(' ' || word || ' ', i::int, 3) as gram from g)),
+s as (select cand_id, count(*) as size from f group by 1),
+b as (select a.cand_id as x, c.cand_id as y, count(*) as common from f a join f c on a.partition = c.partition and a.kind is not distinct from c.kind and a.gram = c.gram and a.n = c.n and a.cand_id < c.cand_id
+  group by 1, 2)
+select x as cand_id_a, y as cand_id_b from b join s sx on sx.cand_id = x join s sy on sy.cand_id = y where common::double / (sx.size + sy.size - common) > 0.8"""
+
+SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_near": P5_NEAR}
