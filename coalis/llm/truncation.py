@@ -43,10 +43,13 @@ _EDGE = r"[\s\u0085\p{Z}\p{Cf}\p{Cc}]"
 _CLOSE = "[”“»\"'’)\\]]"
 _FINISHED = rf"[.!?…]\s*{_CLOSE}*$"
 _SENTENCE = rf"(?<=[.!?…])\s*{_CLOSE}*\s+"
-_NOTE = r"(\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|[:;]-?[)(]|[\p{So}\p{Sk}\p{Sm}\p{Sc}*_~|#]+)$"
+_SYMBOL = r"[\p{So}\p{Sk}\p{Sm}\p{Sc}*_~|#]"
+_NOTE = rf"(\[[^\[\]]*+\]|\([^()]*+\)|<[^<>]*+>|[:;]-?[)(]|(?<!{_SYMBOL}){_SYMBOL}++)$"
 _ATTRIBUTION = r"\s[–—-]{1,3}\s+\p{Lu}[\p{L}\p{M}]+$"
 _LIST_MARK = r"^([-•*–]\s+|\(?\d{1,4}[.)]\s+)"
-_BETWEEN = r"(?:[^\p{L}\p{N}\p{M}’'-]|[’'-](?![\p{L}\p{N}\p{M}])|(?<![\p{L}\p{N}\p{M}])[’'-])+"
+_BETWEEN = r"[^\p{L}\p{N}\p{M}’'-]+"
+#: Quotes and hyphens that are not inside a word.  No repeated group: those recurse once per character.
+_LOOSE = r"(?<![\p{L}\p{N}\p{M}])[’'-]++|[’'-]++(?![\p{L}\p{N}\p{M}])"
 
 _FIRST, _OPEN = "\u0001", "\u0002"
 
@@ -149,11 +152,11 @@ def field_limits(endings: DataFrame) -> DataFrame:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_EDGE}+|{_EDGE}+$", "")
+    return F.regexp_replace(text, f"^{_EDGE}++|(?<!{_EDGE}){_EDGE}++$", "")
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _LOOSE, " "), _BETWEEN), "")
 
 
 def word_statistics(bodies: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def judged(documents: DataFrame) -> DataFrame:
         "finished",
         F.col("body").rlike(rf"…\s*{_CLOSE}*$").alias("ellipsis"),
         F.col("body").rlike("[,;:]$|[\\s(«][“„«(\\[]$|&[#\\w]*$|[<\\[(][^<>()\\[\\]]{0,12}$").alias("hanging"),
-        F.element_at(_words(F.regexp_replace("body", r"[\s….]+$", "")), -1).alias("word"),
+        F.element_at(_words(F.regexp_replace("body", r"(?<![\s….])[\s….]++$", "")), -1).alias("word"),
         F.col("body").rlike(r"(?<![\p{L}\p{N}\p{M}’'-])\p{Lu}[\p{L}\p{N}\p{M}’'-]*[\s….]*$").alias("capital"),
         F.size(F.split(F.regexp_replace("body", _LIST_MARK, ""), _SENTENCE)).alias("sentences"),
         (

@@ -343,7 +343,7 @@ def test_truncation(spark):
         elif rng.random() < 0.1:
             text += rng.choice([" [12]", " (rev.)", " </seg>", " –– Lomun", " ☂"])
         rows.append((i, source, text))
-    whole = ["The harbour and the ladder", "31. The mill", "237 days", "The bridge – Pepok", "The kettle before sunrise [4]", "", None]
+    whole = ["The harbour and the ladder", "31. The mill", "237 days", "The bridge – Pepok", "The kettle before sunrise [4]", "", None, "The mill" + " " * 100_000 + "moves the engine. " + "#" * 100_000 + " The mill closes the engine."]
     rows += [(10_000 + i, "free", t) for i, t in enumerate(whole)] + [(20_000, None, "The harbour repairs the ladder before"), (20_001, None, "The harbour repairs the ladder before"), (20_002, "free", "The mill closes the brid…")]
     cut |= {20_000, 20_001, 20_002}
     df = clashing(documents(spark, rows))
