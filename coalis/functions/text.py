@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space at either end (Spark's trim only knows U+0020).
-EDGE_SPACE = r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+$"
+#: A run of it is only tried from its start, so a long one inside a text costs linear time.
+EDGE_SPACE = r"^[\s\u0085\p{Z}]++|(?<![\s\u0085\p{Z}])[\s\u0085\p{Z}]++$"
 #: ASCII letters, for case folding that leaves other letters alone.
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Prefixes of issue ids that are written in upper case.
