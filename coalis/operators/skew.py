@@ -12,8 +12,11 @@ def attach(rows: DataFrame, on: list[str], looked_up: DataFrame, limit: int, wei
     ``looked_up`` is a written table whose ``weight`` says how many of ``rows`` each of its
     keys has.  Keys of ``limit`` rows or more are attached by broadcast, all others by
     shuffle.  There are at most ``total / limit`` heavy keys, so with ``limit`` a fixed part
-    of the total the broadcast is bounded whatever the input.  The weight is not returned.
+    of the total the broadcast is bounded whatever the input.  Without a heavy key nothing is broadcast.
+    The weight is not returned.
     """
+    if looked_up.where(F.col(weight) >= limit).limit(1).count() == 0:
+        return rows.join(looked_up.drop(weight), on)
     heavy = F.broadcast(looked_up.where(F.col(weight) >= limit).drop(weight))
     light = looked_up.where(F.col(weight) < limit).drop(weight)
     usual = rows.join(heavy.select(*on), on, "left_anti").join(light, on)
