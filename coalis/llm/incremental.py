@@ -61,15 +61,16 @@ class SortedRuns:
     def _range(self):
         return F.shiftrightunsigned("h1", 64 - self.bits).cast("int") if self.bits else F.lit(0)
 
-    def _store(self, heads: DataFrame) -> None:
+    def write(self, heads: DataFrame) -> str:
+        """Write (key, first_id, n) as a sorted table cut into key ranges; it is no run until it is added."""
         self.made += 1
         name = f"run{self.made}"
-        sorted_run = heads.select(*self.key, "first_id", self._range().alias("range_no")).repartitionByRange("range_no", *self.key).sortWithinPartitions("range_no", *self.key)
-        sorted_run.write.mode("overwrite").partitionBy("range_no").option("compression", "zstd").parquet(self.scratch.path(name))
-        self.runs.append((name, self._read(name).count()))
+        cut = heads.select(*self.key, "first_id", "n", self._range().alias("range_no")).repartitionByRange("range_no", *self.key).sortWithinPartitions("range_no", *self.key)
+        cut.write.mode("overwrite").partitionBy("range_no").option("compression", "zstd").parquet(self.scratch.path(name))
+        return name
 
-    def _read(self, name: str) -> DataFrame:
-        schema = "".join(f"{k} long, " for k in self.key) + "first_id long, range_no int"
+    def read(self, name: str) -> DataFrame:
+        schema = "".join(f"{k} long, " for k in self.key) + "first_id long, n long, range_no int"
         return self.spark.read.schema(schema).parquet(self.scratch.path(name))
 
     def load(self, keys: DataFrame) -> None:
@@ -78,7 +79,7 @@ class SortedRuns:
         entries = heads.count()
         self.bits = min(max(math.ceil(math.log2(max(entries, 1) / self.range_entries)) + 1, 0), 16)
         if entries:
-            self._store(heads)
+            self.runs.append((self.write(heads.withColumn("n", F.lit(1).cast("long"))), entries))
         self.scratch.drop("history")
 
     def neighbours(self, heads: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ class SortedRuns:
             touched = [r[0] for r in heads.select(self._range().alias("r")).distinct().collect()]  # at most 2**bits numbers
         stored = None
         for number, (name, _) in enumerate(self.runs):
-            run = self._read(name)
+            run = self.read(name)
             if touched is not None and len(touched) < 2**self.bits:
                 run = run.where(F.col("range_no").isin(touched))
             run = run.select(*self.key, "first_id", F.lit(None).cast("long").alias("n"), F.lit(number).alias("run_no"))
@@ -100,19 +101,21 @@ class SortedRuns:
         seen = merged.repartitionByRange(*self.key).withColumn("accepted_id", F.min("first_id").over(before))
         return seen.where("n is not null and accepted_id is not null").select(*self.key, "n", "accepted_id")
 
-    def append(self, heads: DataFrame) -> None:
-        self._store(heads)
+    def add(self, name: str, most: int) -> None:
+        """Make a written table of at most ``most`` entries a run, and compact when there are many."""
+        self.runs.append((name, most))
         late = self.runs[1:]
         if len(late) >= self.compact_every:
             whole = sum(n for _, n in late) * 2 >= self.runs[0][1]
             old = self.runs if whole else late
             merged = None
-            for name, _ in old:
-                run = self._read(name).select(*self.key, "first_id")
-                merged = run if merged is None else merged.unionByName(run)
+            for run, _ in old:
+                part = self.read(run).select(*self.key, "first_id", "n")
+                merged = part if merged is None else merged.unionByName(part)
+            smallest = merged.groupBy(*self.key).agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
             self.runs = [] if whole else self.runs[:1]
-            self._store(merged.groupBy(*self.key).agg(F.min("first_id").alias("first_id")))
-            self.scratch.drop(*[name for name, _ in old])
+            self.runs.append((self.write(smallest), sum(n for _, n in old)))
+            self.scratch.drop(*[run for run, _ in old])
 
 
 def repeated(history: DataFrame, incoming: DataFrame, *, key: list[str] | None = None, range_entries: int = 1 << 20, compact_every: int = 4) -> DataFrame:
@@ -133,13 +136,15 @@ def repeated(history: DataFrame, incoming: DataFrame, *, key: list[str] | None =
     found = None
     for batch in sorted(per_batch):
         rows = arrived.where(F.col("batch_no") == batch).select("cand_id", *key)
-        heads = scratch.write(rows.groupBy(*key).agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n")), f"heads{batch}")
+        name = runs.write(rows.groupBy(*key).agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n")))
+        heads = runs.read(name)
         hits = scratch.write(runs.neighbours(heads), f"hits{batch}")
         limit = max(per_batch[batch] // 2000, 1000)
         matched = attach(rows, key, hits, limit).groupBy("cand_id").agg(F.min("accepted_id").alias("accepted_id"))
+        matched = scratch.write(matched, f"matched{batch}")  # a small table each; no plan spans the batches
         found = matched if found is None else found.unionByName(matched)
-        runs.append(heads)
-        scratch.drop(f"heads{batch}")
+        runs.add(name, per_batch[batch])
+        scratch.drop(f"hits{batch}")
     scratch.drop(*[name for name, _ in runs.runs])
     if found is None:
         return spark.createDataFrame([], "cand_id long, accepted_id long")
