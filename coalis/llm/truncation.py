@@ -14,7 +14,11 @@ Ending evidence: learned from the corpus itself, per word, in one pass over all
 * how often it stands where a clause's predicate stands, and whether single unfinished lines
   avoid it, as headings do (an unfinished line with a predicate is a cut sentence, one without
   is a heading or list entry);
-* which words exist at all (an unknown last word that starts a known one was cut inside).
+* which words exist at all (a last word that starts a far more frequent one was cut inside;
+  last words of texts, which may be cut themselves, are no evidence that a word exists).
+
+All counts are weighed against each other or against the number of all words, so a document is
+judged alike whatever the size of the corpus.
 
 A text that ends in sentence punctuation, closing quotes, a bracketed note, a tag, a symbol or
 an attribution is whole.  An ellipsis ends a sentence unless the word before says otherwise.
@@ -51,10 +55,15 @@ _BETWEEN = r"[^\p{L}\p{N}\p{M}’'-]+"
 #: Quotes and hyphens that are not inside a word.  No repeated group: those recurse once per character.
 _LOOSE = r"(?<![\p{L}\p{N}\p{M}])[’'-]++|[’'-]++(?![\p{L}\p{N}\p{M}])"
 
-_FIRST, _OPEN = "\u0001", "\u0002"
+_FIRST, _OPEN, _LAST = "\u0001", "\u0002", "\u0003"
 
-#: Occurrences from which a word's statistics count.
-LEAST = 20
+#: Share of all words from which a word's statistics count.
+LEAST = 400e-6
+#: Share of all words from which a word can be the one a fragment starts, and the most a fragment
+#: may occur as a word of its own, as a part of that word's occurrences.
+STARTED, FRAGMENT = 100e-6, 0.02
+#: Part of the single unfinished lines in which a predicate may stand, as some are cut sentences.
+STRAY = 0.005
 #: Log odds of the endings.
 WHOLE, UNFINISHED, CLAUSE, HEADING = -6.0, 5.0, 3.0, -3.0
 #: Log odds of a text whose length says nothing.
@@ -162,17 +171,18 @@ def _words(text: Column) -> Column:
 def word_statistics(bodies: DataFrame) -> DataFrame:
     """(word, n, inner, ends, p1, p2, p3, lines, ...): counts over all sentences of ``body``.
 
-    ``inner`` leaves out the last words of unfinished texts, ``ends`` counts last words of finished
+    ``inner`` leaves out the last word of every text, ``ends`` counts last words of finished
     sentences, ``p1`` to ``p3`` occurrences at that place of a finished sentence, ``lines``
     occurrences in texts that are one unfinished sentence.
     """
-    # marks at both ends of a body tell its first and its unfinished last sentence after the split
-    marked = F.concat(F.lit(_FIRST), "body", F.when(F.col("finished"), "").otherwise(_OPEN))
+    # marks at both ends of a body tell its first and its unfinished last sentence after the split, one behind its last word that word
+    body = F.regexp_replace(F.translate("body", _LAST, " "), r"(?<=[\p{L}\p{N}\p{M}])[^\p{L}\p{N}\p{M}]*+$", f"{_LAST}$0")
+    marked = F.concat(F.lit(_FIRST), body, F.when(F.col("finished"), "").otherwise(_OPEN))
     parts = bodies.select(F.explode(F.split(marked, _SENTENCE)).alias("sentence"))
     whole = ~F.endswith("sentence", F.lit(_OPEN))
-    tokens = parts.select(_words(F.col("sentence")).alias("w"), whole.alias("whole"), (~whole & F.startswith("sentence", F.lit(_FIRST))).alias("line")).where(F.size("w") > 0)
+    tokens = parts.select(_words(F.col("sentence")).alias("w"), whole.alias("whole"), (~whole & F.startswith("sentence", F.lit(_FIRST))).alias("line"), F.contains("sentence", F.lit(_LAST)).alias("last")).where(F.size("w") > 0)
     digits = F.coalesce(F.get("w", F.lit(0)) < ":", F.lit(False)) | F.coalesce(F.get("w", F.lit(1)) < ":", F.lit(False))  # ASCII digits sort before the colon
-    each = tokens.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("of"), "whole", "line", digits.alias("digits"))
+    each = tokens.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("of"), "whole", "line", "last", digits.alias("digits"))
     ending = F.col("at") == F.col("of") - 1
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return (
@@ -180,7 +190,7 @@ def word_statistics(bodies: DataFrame) -> DataFrame:
         .groupBy("word")
         .agg(
             F.count("*").alias("n"),
-            one(~ending | F.col("whole")).alias("inner"),
+            one(~ending | ~F.col("last")).alias("inner"),
             one(F.col("whole")).alias("whole_n"),
             one(F.col("whole") & ending).alias("ends"),
             one(F.col("whole") & (F.col("at") == 1) & ~ending).alias("p1"),
@@ -224,21 +234,23 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     endings = scratch.write(endings, "endings")
     limit = max(total // 2000, 1000)
+    known_well = F.col("whole_n") >= LEAST * total
     grade = statistics.select(
         "word",
         "n",
-        ((F.col("whole_n") >= LEAST) & (F.col("ends") < 0.002 * F.col("whole_n"))).alias("never_last"),
-        ((F.col("whole_n") >= LEAST) & ((F.col("p2") >= 0.2 * F.col("whole_n")) | (F.col("p1") >= 0.7 * F.col("whole_n")) | (F.col("p3") >= 0.7 * F.col("whole_n"))) & (F.col("lines") * sentences <= 0.5 * F.col("whole_n") * lines + sentences) & ~F.col("word").rlike("^[0-9]")).alias("predicate"),
+        (known_well & (F.col("ends") < 0.002 * F.col("whole_n"))).alias("never_last"),
+        (known_well & ((F.col("p2") >= 0.2 * F.col("whole_n")) | (F.col("p1") >= 0.7 * F.col("whole_n")) | (F.col("p3") >= 0.7 * F.col("whole_n"))) & (F.col("lines") * sentences <= (0.5 * F.col("whole_n") + STRAY * sentences) * lines) & ~F.col("word").rlike("^[0-9]")).alias("predicate"),
         F.col("inner"),
     )
     grade = scratch.write(grade, "grades")
     open_ends = endings.where("not noted and (not finished or ellipsis)")
-    last = attach(open_ends.where("word is not null").select("doc_id", "word"), ["word"], grade.select("word", "n", "never_last", "inner"), limit)
-    starts = grade.where(F.col("inner") >= 5).select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", 1, i))).alias("word"), F.col("word").alias("of")).where("word <> of").select("word").distinct()
-    rare = last.where(F.col("inner") <= 2).select("doc_id", "word").join(starts, "word", "left_semi").select("doc_id", F.lit(True).alias("fragment"))
+    longer = grade.where(F.col("inner") >= STARTED * total).select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", 1, i))).alias("word"), F.col("word").alias("of"), F.col("inner").alias("started"))
+    starts = small_or_shuffled(longer.where("word <> of").groupBy("word").agg(F.max("started").alias("started")))  # of at most 1 / STARTED words
+    ends = grade.join(starts, "word", "left").select("word", "n", "never_last", F.coalesce(F.col("inner") <= FRAGMENT * F.col("started"), F.lit(False)).alias("fragment"))
+    last = attach(open_ends.where("word is not null").select("doc_id", "word"), ["word"], ends, limit)
     unclear = open_ends.where("line is not null").select("doc_id", F.explode(F.array_distinct("line")).alias("word"))
     clauses = attach(unclear, ["word"], grade.where("predicate").select("word", "n"), limit).select("doc_id").distinct().withColumn("clause", F.lit(True))
-    known = endings.join(last.select("doc_id", "never_last"), "doc_id", "left").join(rare.distinct(), "doc_id", "left").join(clauses, "doc_id", "left")
+    known = endings.join(last.select("doc_id", "never_last", "fragment"), "doc_id", "left").join(clauses, "doc_id", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
     # a capitalised word may be a name or noun that only happens never to end a sentence
     inside = (flag("never_last") & ~F.col("capital")) | flag("fragment")

@@ -356,6 +356,20 @@ def test_truncation(spark):
     assert truncation.truncated(df.where("false")).count() == 0
 
 
+def test_truncation_does_not_depend_on_the_size_of_the_corpus(spark):
+    rng = random.Random(6)
+    rows = [(i, "free", " ".join(sentence(rng) + "." for _ in range(rng.randint(1, 6)))) for i in range(400)]
+    cut = {1000 + i: f"The mill closes the {w}" for i, w in enumerate(["brid…", "brid…", "brid…", "brid… …", "brid. . .", "brid", "ladd", "ladd", "ladd"])}
+    whole = {2000: "The mill closes the bridge…", 2001: "The ladder", 2002: "The ladder and the mill"}
+    rows += [(i, "free", t) for i, t in (cut | whole).items()]
+    # the fragment inside of texts, as rarely as stray words are
+    rows += [(3000 + i, "free", f"The bridge moves the {w} before sunrise. The mill closes the engine.") for i, w in enumerate(["brid", "ladd"])]
+    once = {r[0] for r in truncation.truncated(documents(spark, rows)).collect()}
+    assert cut.keys() - {1004} <= once and not whole.keys() & once
+    many = {r[0] for r in truncation.truncated(documents(spark, [(i + 10_000 * k, s, t) for i, s, t in rows for k in range(6)])).collect()}
+    assert many == {i + 10_000 * k for i in once for k in range(6)}
+
+
 def test_censored_fit_recovers_the_limit():
     rng = np.random.default_rng(0)
     lengths = np.exp(rng.normal(4.5, 0.8, 20_000)).astype(int) + 1
