@@ -16,10 +16,11 @@ A group of more than ``NODE_ROWS`` classes is cut at the top of each trie: a tas
 of subtrees whose paths differ in at most ``ERRORS`` bits, and subtrees that are still too
 large are cut into slices by id, so no task sees more than about two slices of rows.
 
-Exact copies: pairs of copies are expanded for classes of up to ``SHOWN`` records.  A larger
-class comes out as its smallest record paired with every other one, and stands for itself in
-pairs with other classes through that smallest record.  No row and no link between different
-texts is lost, and no class is expanded quadratically.
+All pairs of records come out, also those within a class and between the classes of a verified
+pair, so the result grows with the square of the largest classes.  A class of more than ``SLICE``
+records is expanded in pairs of slices, so no row and no task holds a class.  Only where ``SHOWN``
+is set does a larger class come out as a star around its smallest record, which then also stands
+for it in pairs with other classes; the queries do not set it.
 
 Defined cases: null partition, kind or id: the row is in no pair; null fields and null array
 members say nothing; rows whose three fields say nothing at all are in no pair; empty tables
@@ -42,7 +43,10 @@ from coalis.sources.scratch import Scratch, small_or_shuffled
 
 TRIES, BITS, ERRORS, TOTAL_ERRORS = 8, 24, 2, 38
 NODE_ROWS = 16384
-SHOWN = 64
+#: Records of a class in one list; a larger class is expanded in pairs of such lists.
+SLICE = 1024
+#: Records from which a class comes out as a star; None: all pairs come out.
+SHOWN: int | None = None
 #: A class with at least this part of all rows is attached by broadcast.
 HOT_PARTS = 2000
 WORDS = TRIES * BITS // 64
@@ -373,20 +377,26 @@ def near_copies(records: DataFrame, record_id: str, group: list[Column], texts:
     copies = attach(rows.select("id", "gkey", "d1", "d2"), ["gkey", "d1", "d2"], repeated, max(rows.count() // HOT_PARTS, 1000), "weight").select("id", "rep", "n")
     copies = scratch.write(copies, "copies")
     scratch.drop("rows", "found")
-    few = copies.where(F.col("n") <= SHOWN).select("rep", "id")
-    inside = few.select("rep", F.col("id").alias("a")).join(few.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b")
-    star = copies.where((F.col("n") > SHOWN) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    others = few.where("id <> rep")
-    shown = lambda c: F.concat(F.array(c), F.coalesce(f"_{c}", F.array().cast("array<bigint>")))
-    lists = others.groupBy("rep").agg(F.collect_list("id").alias("ids"))  # at most SHOWN ids each
-    crossed = (
-        same.join(lists.select(F.col("rep").alias("a"), F.col("ids").alias("_a")), "a", "left")
-        .join(lists.select(F.col("rep").alias("b"), F.col("ids").alias("_b")), "b", "left")
-        .select(F.explode(shown("a")).alias("x"), shown("b").alias("ys"))
-        .select("x", F.explode("ys").alias("y"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    return inside.unionByName(star).unionByName(crossed)
+    listed = F.lit(True) if SHOWN is None else F.col("n") <= SHOWN
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    lists = copies.where(listed).groupBy("rep", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice")).agg(F.collect_list("id").alias("ids"))  # about SLICE ids each
+    lists = scratch.write(lists, "lists")
+    cut = small_or_shuffled(classes.where(listed & (F.col("n") > SLICE)).select("rep", slices.alias("slices")))
+    inside = lists.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
+    later = lists.join(cut, "rep").where("slice + 1 < slices").select("rep", "ids", F.explode(F.expr("sequence(slice + 1, slices - 1)")).alias("slice"))
+    across = later.join(lists.withColumnRenamed("ids", "_ids"), ["rep", "slice"]).select(F.explode("ids").alias("x"), "_ids").select("x", F.explode("_ids").alias("y"))
+    crossed = same
+    for c in ("a", "b"):
+        crossed = crossed.join(cut.select(F.col("rep").alias(c), F.col("slices").alias(f"n_{c}")), c, "left")
+        crossed = crossed.withColumn(f"s_{c}", F.explode(F.sequence(F.lit(0), F.coalesce(f"n_{c}", F.lit(1)) - 1)))
+        crossed = crossed.join(lists.select(F.col("rep").alias(c), F.col("slice").alias(f"s_{c}"), F.col("ids").alias(f"_{c}")), [c, f"s_{c}"], "left")
+    # a class without a list has one record to show, a slice without one has none
+    shown = lambda c: F.coalesce(f"_{c}", F.when(F.col(f"n_{c}").isNull(), F.array(c)), F.array().cast("array<bigint>"))
+    crossed = crossed.select(F.explode(shown("a")).alias("x"), shown("b").alias("ys")).select("x", F.explode("ys").alias("y"))
+    pairs = inside.unionByName(across.unionByName(crossed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    if SHOWN is None:
+        return pairs
+    return pairs.unionByName(copies.where((F.col("n") > SHOWN) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def candidate_copies(candidates: DataFrame, threshold: float = 0.8) -> DataFrame:

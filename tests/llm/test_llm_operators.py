@@ -159,6 +159,18 @@ def test_large_classes_of_copies_come_out_as_stars(spark, monkeypatch):
     assert got == {(1, i) for i in range(2, 8)} | {(8, 9)} | {(1, 8), (1, 9)}
 
 
+def test_large_classes_come_out_in_all_pairs(spark, monkeypatch):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron".split()
+    rng = random.Random(9)
+    spelled = lambda more: [{"title": rng.choice([" ", ", "]).join(rng.sample(words + more, len(words + more)))} for _ in range(70)]
+    rows = [{"title": " ".join(words)}] * 70 + spelled([]) + spelled(["pi"]) + [{"title": " ".join([*words, "rho"])}]
+    expected = {(i, j) for j in range(1, len(rows) + 1) for i in range(1, j)}
+    for size in (nearcopies.SLICE, 16):
+        monkeypatch.setattr(nearcopies, "SLICE", size)
+        got = [tuple(r) for r in nearcopies.candidate_copies(candidates(spark, rows)).collect()]
+        assert set(got) == expected and len(got) == len(expected)
+
+
 def test_trie_walk_finds_every_pair_in_the_budget():
     rng = np.random.default_rng(3)
     values = np.sort(rng.integers(0, 1 << nearcopies.BITS, 3000).astype(np.uint32))
