@@ -26,7 +26,7 @@ Both kinds of evidence add up as log odds.
 
 Defined cases: null and empty texts are not truncated; ties and repeated rows are judged
 alike; null sources share one length model; an empty table gives an empty result; other
-columns are ignored; texts are read whole, a word of more than 64 characters is no vocabulary.
+columns are ignored; texts are read whole, words of any length are vocabulary.
 """
 
 from __future__ import annotations
@@ -62,6 +62,8 @@ LEAST = 400e-6
 #: Share of all words from which a word can be the one a fragment starts, and the most a fragment
 #: may occur as a word of its own, as a part of that word's occurrences.
 STARTED, FRAGMENT = 100e-6, 0.02
+#: Length up to which every start of a word is listed.
+SHORT = 64
 #: Part of the single unfinished lines in which a predicate may stand, as some are cut sentences.
 STRAY = 0.005
 #: Log odds of the endings.
@@ -186,8 +188,7 @@ def word_statistics(bodies: DataFrame) -> DataFrame:
     ending = F.col("at") == F.col("of") - 1
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return (
-        each.where(F.length("word") <= 64)
-        .groupBy("word")
+        each.groupBy("word")
         .agg(
             F.count("*").alias("n"),
             one(~ending | ~F.col("last")).alias("inner"),
@@ -244,8 +245,12 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     grade = scratch.write(grade, "grades")
     open_ends = endings.where("not noted and (not finished or ellipsis)")
-    longer = grade.where(F.col("inner") >= STARTED * total).select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", 1, i))).alias("word"), F.col("word").alias("of"), F.col("inner").alias("started"))
-    starts = small_or_shuffled(longer.where("word <> of").groupBy("word").agg(F.max("started").alias("started")))  # of at most 1 / STARTED words
+    often = grade.where(F.col("inner") >= STARTED * total).select(F.col("word").alias("of"), F.col("inner").alias("started"))  # at most 1 / STARTED words
+    short = often.select(F.explode(F.sequence(F.lit(1), F.least(F.length("of") - 1, F.lit(SHORT)))).alias("i"), "of", "started").where("i between 1 and length(of) - 1").select(F.expr("left(of, i)").alias("word"), "started")
+    # a longer fragment is compared with the words of its first SHORT characters
+    long = grade.where(F.length("word") > SHORT).select("word", F.substring("word", 1, SHORT).alias("head"))
+    long = long.join(small_or_shuffled(often.where(F.length("of") > SHORT).select("of", "started", F.substring("of", 1, SHORT).alias("head"))), "head").where(F.startswith("of", "word") & (F.col("of") != F.col("word"))).select("word", "started")
+    starts = small_or_shuffled(short.unionByName(long).groupBy("word").agg(F.max("started").alias("started")))
     ends = grade.join(starts, "word", "left").select("word", "n", "never_last", F.coalesce(F.col("inner") <= FRAGMENT * F.col("started"), F.lit(False)).alias("fragment"))
     last = attach(open_ends.where("word is not null").select("doc_id", "word"), ["word"], ends, limit)
     unclear = open_ends.where("line is not null").select("doc_id", F.explode(F.array_distinct("line")).alias("word"))

@@ -382,6 +382,17 @@ def test_truncation_does_not_depend_on_the_size_of_the_corpus(spark):
     assert many == {i + 10_000 * k for i in once for k in range(6)}
 
 
+def test_texts_cut_inside_long_words(spark):
+    rng = random.Random(7)
+    word = "harbour" * 20
+    rows = [(i, "free", " ".join(sentence(rng) + "." for _ in range(rng.randint(1, 6)))) for i in range(400)]
+    rows += [(1000 + i, "free", f"The mill moves the {word}" + (" before sunrise." if i % 4 else ".")) for i in range(20)]
+    cut = {2000: f"The mill and the {word[:30]}", 2001: f"The mill and the {word[:70]}", 2002: f"The mill and the {word[:139]}", 2003: f"The mill closes the {word[:100]}…"}
+    whole = {3000: f"The mill and the {word}", 3001: f"The mill and the {word[:80]}x"}
+    got = {r[0] for r in truncation.truncated(documents(spark, rows + [(i, "free", t) for i, t in (cut | whole).items()])).collect()}
+    assert cut.keys() <= got and not whole.keys() & got
+
+
 def test_censored_fit_recovers_the_limit():
     rng = np.random.default_rng(0)
     lengths = np.exp(rng.normal(4.5, 0.8, 20_000)).astype(int) + 1
