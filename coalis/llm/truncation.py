@@ -1,13 +1,16 @@
 """Texts cut off by field limits or mid-transfer.
 
-Length evidence: the lengths of each source (in characters and in bytes) are taken as
-log-normal and right-censored: a part of the texts longer than a limit was stored cut to
-exactly that limit.  Location, spread and censored part are fitted by maximum likelihood (EM
-on the length histogram) for every candidate limit, i.e. every length that occurs far more
-often than its surroundings and mostly with unfinished endings.  A text of a limit's length gets the posterior probability that
-it was censored there.
-
-Ending evidence: learned from the corpus itself, per word, in one pass over all words:
+Length evidence: the lengths of each source (of the text and of its trimmed body, in characters
+and in bytes) are taken as log-normal and right-censored: a part of the texts longer than a
+limit was stored cut to exactly that limit.  Location, spread and the censored part of every
+limit of a source are fitted jointly by maximum likelihood (EM on the length histogram).
+Candidate limits are all lengths that occur far more often than their surroundings and mostly
+with unfinished endings.  A text of a limit's length gets the posterior probability that it was
+censored there.  Where such a cut falls on a blank, trimming leaves one character less; these
+lengths are fitted along with their limits.
+
+Ending evidence: a text's ending is one of :data:`KINDS`, told with word statistics learned from
+the corpus itself, in one pass over all words:
 
 * how often the word is the last of a finished sentence (words such as *the* or *with* never
   are: a text that ends in one is unfinished);
@@ -17,12 +20,18 @@ Ending evidence: learned from the corpus itself, per word, in one pass over all
 * which words exist at all (a last word that starts a far more frequent one was cut inside;
   last words of texts, which may be cut themselves, are no evidence that a word exists).
 
-All counts are weighed against each other or against the number of all words, so a document is
-judged alike whatever the size of the corpus.
+Combination: a latent-class model.  A text was cut at a limit (its censoring posterior), cut
+elsewhere (the rate of its source) or not at all; a limit also falls between two sentences now
+and then, which leaves a whole text.  Each class has its own probabilities of the kinds of
+ending; they, the rates and the part of limits between sentences are fitted by EM over all
+documents, whose counts per (rate bin, posterior bin, kind) are a table of bounded size.  How
+often a whole sentence ends in an ellipsis or in dots is known from the sentences inside of
+texts.  No labelled rows are used.
 
-A text that ends in sentence punctuation, closing quotes, a bracketed note, a tag, a symbol or
-an attribution is whole.  An ellipsis ends a sentence unless the word before says otherwise.
-Both kinds of evidence add up as log odds.
+A text that ends in sentence punctuation, a bracketed note, a tag, a symbol or an attribution
+is whole by definition, wherever its length lies.  Everything else is decided by the log odds of
+the two cut classes against the whole one.  All counts are weighed against each other, so a document is judged alike
+whatever the size of the corpus.
 
 Defined cases: null and empty texts are not truncated; ties and repeated rows are judged
 alike; null sources share one length model; an empty table gives an empty result; other
@@ -32,6 +41,8 @@ columns are ignored; texts are read whole, words of any length are vocabulary.
 from __future__ import annotations
 
 import math
+import sys
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -42,20 +53,19 @@ from coalis.operators.skew import attach
 from coalis.sources.scratch import Scratch, small_or_shuffled
 
 #: White space and invisible characters around a text.
-_EDGE = r"[\s\u0085\p{Z}\p{Cf}\p{Cc}]"
+EDGE = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cf", "Cc"))
 #: Closing quotes and brackets that may follow a sentence's end.
+CLOSERS = "”“»\"'’)]"
 _CLOSE = "[”“»\"'’)\\]]"
-_FINISHED = rf"[.!?…]\s*{_CLOSE}*$"
 _SENTENCE = rf"(?<=[.!?…])\s*{_CLOSE}*\s+"
 _SYMBOL = r"[\p{So}\p{Sk}\p{Sm}\p{Sc}*_~|#]"
 _NOTE = rf"(\[[^\[\]]*+\]|\([^()]*+\)|<[^<>]*+>|[:;]-?[)(]|(?<!{_SYMBOL}){_SYMBOL}++)$"
+_NOTE_LAST = rf"[\])>(]|{_SYMBOL}"
 _ATTRIBUTION = r"\s[–—-]{1,3}\s+\p{Lu}[\p{L}\p{M}]+$"
 _LIST_MARK = r"^([-•*–]\s+|\(?\d{1,4}[.)]\s+)"
 _BETWEEN = r"[^\p{L}\p{N}\p{M}’'-]+"
-#: Quotes and hyphens that are not inside a word.  No repeated group: those recurse once per character.
-_LOOSE = r"(?<![\p{L}\p{N}\p{M}])[’'-]++|[’'-]++(?![\p{L}\p{N}\p{M}])"
-
-_FIRST, _OPEN, _LAST = "\u0001", "\u0002", "\u0003"
+#: Quotes and hyphens that are not inside a word.
+LOOSE = "’'-"
 
 #: Share of all words from which a word's statistics count.
 LEAST = 400e-6
@@ -66,127 +76,206 @@ STARTED, FRAGMENT = 100e-6, 0.02
 SHORT = 64
 #: Part of the single unfinished lines in which a predicate may stand, as some are cut sentences.
 STRAY = 0.005
-#: Log odds of the endings.
-WHOLE, UNFINISHED, CLAUSE, HEADING = -6.0, 5.0, 3.0, -3.0
-#: Log odds of a text whose length says nothing.
-PRIOR = -0.5
-
 
-def censored_fit(lengths: np.ndarray, counts: np.ndarray, limit: int, rounds: int = 60) -> tuple[float, float, float, float]:
-    """(mu, sigma, part, gain): maximum-likelihood log-normal with a part of the longer texts cut to ``limit``.
-
-    ``gain`` is the log likelihood over the best fit without a limit.
+#: Kinds of endings with the log odds the fit starts from; None: whole by definition.
+KINDS: dict[str, float | None] = {
+    "finished": None,
+    "noted": None,
+    "ellipsis_closed": None,
+    "ellipsis": -2.0,
+    "ellipsis_inside": 4.0,
+    "dots": 0.0,
+    "dots_inside": 4.0,
+    "inside": 5.0,
+    "later_sentence": 5.0,
+    "clause": 3.0,
+    "heading": -4.0,
+}
+#: Endings that are surely cut, those without a mark behind a cut, and such marks.
+INSIDE = ("inside", "ellipsis_inside", "dots_inside")
+UNMARKED = ("inside", "later_sentence", "clause", "heading")
+MARKS = ("ellipsis", "dots")
+#: Part of the texts of a kind that the fit leaves as the start says.  Headings look alike in
+#: every source, so the fit alone could not tell them from lines cut before their predicate.
+LEAN, LEAN_HEADING = 0.02, 0.3
+#: Bins of the rates and posteriors the fit sees, and log odds beyond which nothing is told apart.
+RATE_BINS, POSTERIOR_BINS, SURE = 48, 24, 12.0
+
+
+def censored_fit(lengths: np.ndarray, counts: np.ndarray, limits: list[int], rounds: int = 60) -> tuple[float, float, np.ndarray, np.ndarray, float]:
+    """(mu, sigma, parts, posteriors, gain): maximum-likelihood log-normal with a part of the longer texts cut to each limit.
+
+    A text takes the way of limit k with probability ``parts[k]``, where it is cut to the limit
+    if it is longer.  ``posteriors[k]`` is the probability that a text of the limit's length was
+    cut, ``gain`` the log likelihood over the best fit without limits.
     """
-    from math import erfc, log, sqrt
-
     x, n = np.log(lengths), counts.astype(float)
-    at = lengths == limit
+    at = np.searchsorted(lengths, limits)
+    c = np.log(np.asarray(limits, float))
+    total = n.sum()
 
-    def density(mu, sigma):
-        return -0.5 * ((x - mu) / sigma) ** 2 - math.log(sigma * math.sqrt(2 * math.pi)) - x
+    def density(values, mu, sigma):
+        return np.exp(-0.5 * ((values - mu) / sigma) ** 2 - values) / (sigma * math.sqrt(2 * math.pi))
 
-    total = n.sum()
-    mu0 = (n * x).sum() / total
-    s0 = max(math.sqrt((n * (x - mu0) ** 2).sum() / total), 0.05)
-    plain = (n * density(mu0, s0)).sum()
-    mu, sigma, part = mu0, s0, 0.5
-    c = math.log(limit)
-    long, hit = n[lengths > limit].sum(), n[at].sum()
-    tail = 0.5
-    for _ in range(rounds):
+    mu = (n * x).sum() / total
+    sigma = max(math.sqrt((n * (x - mu) ** 2).sum() / total), 0.05)
+    tiny = 1e-300
+    plain = (n * np.log(density(x, mu, sigma) + tiny)).sum()
+    hits = n[at]
+    longer = np.array([n[lengths > limit].sum() for limit in limits])
+    parts = np.clip(0.5 * hits / (hits + longer), 1e-6, 0.9)
+    parts /= max(parts.sum() / 0.9, 1.0)
+    reach = lengths[:, None] <= np.asarray(limits)[None, :]  # the ways on which a length is stored uncut
+
+    def state():
         z = (c - mu) / sigma
-        tail = max(0.5 * erfc(z / sqrt(2)), 1e-12)
-        f = math.exp(-0.5 * z * z) / (limit * sigma * sqrt(2 * math.pi))
-        post = part * tail / (part * tail + f)
+        tails = np.array([max(0.5 * math.erfc(v / math.sqrt(2)), 1e-12) for v in z])
+        free = 1 - parts.sum() + reach @ parts
+        f = density(x, mu, sigma)
+        cut, uncut = parts * tails, f[at] * free[at]
+        return z, tails, free, f, cut, uncut
+
+    for _ in range(rounds):
+        z, tails, free, f, cut, uncut = state()
+        post = cut / (cut + uncut + tiny)
+        ratio = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / tails
         # moments of a log length known only to be over the limit
-        ratio = math.exp(-0.5 * z * z) / sqrt(2 * math.pi) / tail
         m1 = mu + sigma * ratio
         m2 = mu * mu + sigma * sigma + sigma * ratio * (c + mu)
-        w = n.copy()
-        w[at] = hit * (1 - post)
-        extra = hit * post
-        mu = ((w * x).sum() + extra * m1) / total
-        second = ((w * x * x).sum() + extra * m2) / total
+        w, extra = n.copy(), hits * post
+        w[at] = hits * (1 - post)
+        mu = ((w * x).sum() + (extra * m1).sum()) / total
+        second = ((w * x * x).sum() + (extra * m2).sum()) / total
         sigma = max(math.sqrt(max(second - mu * mu, 0)), 0.05)
-        part = min(max(extra / max(extra + long, 1e-9), 1e-6), 1 - 1e-6)
-    z = (c - mu) / sigma
-    tail = max(0.5 * erfc(z / sqrt(2)), 1e-12)
-    d = density(mu, sigma)
-    f = math.exp(-0.5 * z * z) / (limit * sigma * sqrt(2 * math.pi))
-    fitted = (n * d)[lengths < limit].sum() + (n * d)[lengths > limit].sum() + long * log(1 - part) + hit * log(part * tail + f)
-    return mu, sigma, part, fitted - plain
+        # a text stored uncut took one of the ways that reach it
+        ways = extra + parts * (reach * (w / np.maximum(free, tiny))[:, None]).sum(0)
+        parts = np.clip(ways / total, 1e-9, 1)
+        parts /= max(parts.sum() / 0.999, 1.0)
+    _, _, free, f, cut, uncut = state()
+    likely = f * free
+    likely[at] += cut
+    fitted = (n * np.log(likely + tiny)).sum()
+    return mu, sigma, parts, cut / (cut + uncut + tiny), fitted - plain
 
 
 def _limits_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Limits of one source and unit from its length histogram."""
-    columns = ["source", "unit", "length", "posterior", "part", "mu", "sigma"]
+    """All limits of one source and unit from its length histogram."""
     pdf = pdf[pdf["length"] > 0].sort_values("length")
-    lengths, counts = pdf["length"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-    rows = []
-    ends = np.cumsum(counts)
-    for i in np.argsort(-counts, kind="stable")[: len(counts)]:
-        n, limit = int(counts[i]), int(lengths[i])
-        if n < 8:
+    lengths, counts, opened = (pdf[c].to_numpy(np.int64) for c in ("length", "n", "open"))
+    empty = pd.DataFrame(columns=["source", "unit", "length", "posterior", "part", "mu", "sigma"])
+    if not len(lengths):
+        return empty
+    # lengths within a tenth tell what one length usually has, and how much that varies
+    lo, hi = np.searchsorted(lengths, np.ceil(lengths * 0.9)), np.searchsorted(lengths, np.floor(lengths * 1.1), "right")
+    around = lambda v: (lambda c: c[hi] - c[lo] - v)(np.concatenate([[0], np.cumsum(v)])) / np.maximum(0.2 * lengths, 1)
+    usual = np.maximum(around(counts), 0.2)
+    spread = np.sqrt(np.maximum(around(counts**2) - usual**2, usual))
+    able = (opened * 2 >= counts) & (counts >= 3 * usual) & (counts - usual >= 4 * spread + 3)
+    limits = lengths[able].tolist()
+    while limits:
+        mu, sigma, parts, posteriors, gain = censored_fit(lengths, counts, limits)
+        # a limit must pay for itself: without it the others must explain the lengths worse
+        kept = [k for k in range(len(limits)) if posteriors[k] > 0.5]
+        if len(kept) == len(limits):
             break
-        # texts whose length is within a tenth: what a smooth curve would put on one length
-        lo, hi = np.searchsorted(lengths, [limit * 0.9, limit * 1.1 + 1])
-        near = ends[hi - 1] - (ends[lo - 1] if lo else 0) - n
-        usual = max(near / max(0.2 * limit, 1), 0.2)
-        if pdf["open"].iloc[i] * 2 < n or n < 3 * usual or n - usual < 4 * math.sqrt(usual) + 3:
-            continue
-        mu, sigma, part, gain = censored_fit(lengths, counts, limit)
-        if gain < 5:
-            continue
-        rows.append((pdf["source"].iloc[0], pdf["unit"].iloc[0], limit, float(np.clip(1 - usual / n, 0.01, 0.99)), part, mu, sigma))
-    out = pd.DataFrame(rows, columns=columns)
-    if len(out):
-        z = (np.log(out["length"]) - out["mu"]) / out["sigma"]
-        tail = z.map(lambda v: max(0.5 * math.erfc(v / math.sqrt(2)), 1e-12))
-        f = np.exp(-0.5 * z * z) / (out["length"] * out["sigma"] * math.sqrt(2 * math.pi))
-        model = out["part"] * tail / (out["part"] * tail + f)
-        out["posterior"] = np.minimum(model, 0.999)
-    return out
+        limits = [limits[k] for k in kept]
+    if not limits or gain < 5 * len(limits):
+        return empty
+    # a cut that falls on a blank loses it: such texts are one shorter
+    trimmed_to = [c - 1 for c in limits if c - 1 in lengths and c - 1 not in limits]
+    if trimmed_to:
+        limits = sorted(limits + trimmed_to)
+        mu, sigma, parts, posteriors, gain = censored_fit(lengths, counts, limits)
+    return pd.DataFrame({"source": pdf["source"].iloc[0], "unit": pdf["unit"].iloc[0], "length": limits, "posterior": np.minimum(posteriors, 0.999), "part": parts, "mu": mu, "sigma": sigma})
 
 
 LIMITS = "source string, unit string, length long, posterior double, part double, mu double, sigma double"
+UNITS = ("chars", "bytes", "body_chars", "body_bytes")
 
 
 def field_limits(endings: DataFrame) -> DataFrame:
     """(source, unit, length, posterior, part, mu, sigma): the limits each source's lengths show.
 
-    ``endings`` has source, chars, bytes and evidence.  A histogram has one row per distinct
+    ``endings`` has source, the lengths of :data:`UNITS`, text_hash and kind.  Copies of a text
+    count once, as they say no more about a limit than one.  A histogram has one row per distinct
     length, so a group is bounded by the longest text.
     """
-    t = endings.select("source", (F.col("evidence") == UNFINISHED).cast("int").alias("open"), F.posexplode(F.array("chars", "bytes")).alias("u", "length"))
-    histogram = t.groupBy("source", F.when(F.col("u") == 0, "chars").otherwise("bytes").alias("unit"), "length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
+    opened = (~F.col("kind").isin("finished", "noted", "ellipsis_closed")).cast("int")
+    t = endings.select("source", "text_hash", *UNITS, opened.alias("open")).distinct()
+    t = t.select("source", "open", F.posexplode(F.array(*[F.col(u).cast("long") for u in UNITS])).alias("u", "length"))
+    histogram = t.groupBy("source", F.element_at(F.array(*[F.lit(u) for u in UNITS]), F.col("u") + 1).alias("unit"), "length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
     return histogram.groupBy("source", "unit").applyInPandas(_limits_of, LIMITS)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_EDGE}++|(?<!{_EDGE}){_EDGE}++$", "")
+    """The text without white space and invisible characters around it."""
+    return F.btrim(text, F.lit(EDGE))
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _LOOSE, " "), _BETWEEN), "")
+    return F.filter(F.transform(F.split(F.lower(text), _BETWEEN), lambda w: F.btrim(w, F.lit(LOOSE))), lambda w: w != "")
+
+
+def _tail(text: Column) -> Column:
+    """What follows the last blank."""
+    return F.substring_index(text, " ", -1)
+
+
+def endings_of(documents: DataFrame) -> DataFrame:
+    """One row per text with its lengths, the marks of its ending and the words of its sentences; each text is walked once."""
+    body = trimmed(F.col("text"))
+    lengths = [F.length("text").alias("chars"), F.octet_length("text").alias("bytes")]
+    t = documents.where(F.col("text").isNotNull()).select("doc_id", "source", *lengths, body.alias("body")).where("body <> ''")
+    core = F.rtrim(F.col("body"), F.lit(CLOSERS + EDGE))
+    listed = F.when(F.left("body", F.lit(1)).rlike(r"[-•*–(\d]"), F.regexp_replace("body", _LIST_MARK, "")).otherwise(F.col("body"))
+    t = t.select("*", core.alias("core"), F.split(listed, _SENTENCE).alias("parts"))
+    t = t.select("*", F.right("core", F.lit(1)).isin(".", "!", "?", "…").alias("finished"), F.rtrim(F.col("core"), F.lit("…." + EDGE)).alias("stem"))
+    quotes = F.regexp_replace("body", "[^“«„”»]+", "")
+    last_quote = F.right(quotes, F.lit(1))
+    inner = lambda mark: F.size(F.filter("parts", lambda p, i: F.endswith(p, F.lit(mark)) & (i < F.size("parts") - 1)))
+    capital = _tail(F.col("stem")).rlike(r"(?<![\p{L}\p{N}\p{M}’'-])\p{Lu}[\p{L}\p{N}\p{M}’'-]*$")
+    return t.select(
+        "doc_id",
+        "source",
+        "chars",
+        "bytes",
+        F.length("body").alias("body_chars"),
+        F.octet_length("body").alias("body_bytes"),
+        F.xxhash64("body").alias("text_hash"),
+        "finished",
+        F.when(F.col("core").endswith("…"), "ellipsis").when(F.col("core").endswith(".."), "dots").alias("dots"),
+        (F.length("core") < F.length("body")).alias("closed"),
+        ((F.right("body", F.lit(1)).rlike(_NOTE_LAST) & F.col("body").rlike(_NOTE)) | (~F.col("finished") & capital & F.col("body").rlike(_ATTRIBUTION))).alias("noted"),
+        (
+            F.right("body", F.lit(1)).isin(",", ";", ":")
+            | F.right("body", F.lit(2)).rlike(r"^[\s(«][“„«(\[]$")
+            | _tail(F.col("body")).rlike(r"&[#\w]*$")
+            | F.right("body", F.lit(13)).rlike(r"[<\[(][^<>()\[\]]{0,12}$")
+        ).alias("hanging"),
+        capital.alias("capital"),
+        (F.col("body").rlike("[“«„]") & (last_quote.isin("«", "„") | ((last_quote == "“") & ~quotes.contains("„")))).alias("quoted"),
+        F.filter(F.transform("parts", _words), lambda w: F.size(w) > 0).alias("sentences"),
+        (F.size("parts") - 1).alias("inner_ends"),
+        F.when(F.col("body").contains("…"), inner("…") - F.regexp_count("body", F.lit(rf"…\s*{_CLOSE}+\s"))).otherwise(0).alias("inner_ellipsis"),
+        F.when(F.col("body").contains(".."), inner("..")).otherwise(0).alias("inner_dots"),
+    )
 
 
-def word_statistics(bodies: DataFrame) -> DataFrame:
-    """(word, n, inner, ends, p1, p2, p3, lines, ...): counts over all sentences of ``body``.
+def word_statistics(endings: DataFrame) -> DataFrame:
+    """(word, n, inner, ends, p1, p2, p3, lines, ...): counts over all sentences.
 
     ``inner`` leaves out the last word of every text, ``ends`` counts last words of finished
     sentences, ``p1`` to ``p3`` occurrences at that place of a finished sentence, ``lines``
     occurrences in texts that are one unfinished sentence.
     """
-    # marks at both ends of a body tell its first and its unfinished last sentence after the split, one behind its last word that word
-    body = F.regexp_replace(F.translate("body", _LAST, " "), r"(?<=[\p{L}\p{N}\p{M}])[^\p{L}\p{N}\p{M}]*+$", f"{_LAST}$0")
-    marked = F.concat(F.lit(_FIRST), body, F.when(F.col("finished"), "").otherwise(_OPEN))
-    parts = bodies.select(F.explode(F.split(marked, _SENTENCE)).alias("sentence"))
-    whole = ~F.endswith("sentence", F.lit(_OPEN))
-    tokens = parts.select(_words(F.col("sentence")).alias("w"), whole.alias("whole"), (~whole & F.startswith("sentence", F.lit(_FIRST))).alias("line"), F.contains("sentence", F.lit(_LAST)).alias("last")).where(F.size("w") > 0)
+    parts = endings.select("finished", F.size("sentences").alias("of_parts"), F.posexplode("sentences").alias("part", "w")).where(F.size("w") > 0)
+    latest = F.col("part") == F.col("of_parts") - 1
     digits = F.coalesce(F.get("w", F.lit(0)) < ":", F.lit(False)) | F.coalesce(F.get("w", F.lit(1)) < ":", F.lit(False))  # ASCII digits sort before the colon
-    each = tokens.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("of"), "whole", "line", "last", digits.alias("digits"))
+    each = parts.select(
+        F.posexplode("w").alias("at", "word"), F.size("w").alias("of"), (~latest | F.col("finished")).alias("whole"), (~F.col("finished") & (F.col("of_parts") == 1)).alias("line"), latest.alias("last"), digits.alias("digits")
+    )
     ending = F.col("at") == F.col("of") - 1
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    one = lambda c: F.count_if(c)
     return (
         each.groupBy("word")
         .agg(
@@ -204,47 +293,25 @@ def word_statistics(bodies: DataFrame) -> DataFrame:
     )
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, evidence, posterior, score): log odds of every text; positive means cut off."""
-    scratch = Scratch(documents.sparkSession, "truncation")
-    body = trimmed(F.col("text"))
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), body.alias("body"))
-    texts = texts.where("body <> ''")
-    noted = F.col("body").rlike(_NOTE) | F.col("body").rlike(_ATTRIBUTION)
-    texts = texts.withColumn("finished", F.col("body").rlike(_FINISHED))
-    statistics = scratch.write(word_statistics(texts), "words")
+def _told(endings: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, source, text_hash, lengths, kind) of every text."""
+    statistics = scratch.write(word_statistics(endings), "words")
     total, sentences, lines = (x or 0 for x in statistics.agg(F.sum("n"), F.sum("first"), F.sum("first_line")).first())
-
-    endings = texts.select(
-        "doc_id",
-        "source",
-        "chars",
-        "bytes",
-        noted.alias("noted"),
-        "finished",
-        F.col("body").rlike(rf"…\s*{_CLOSE}*$").alias("ellipsis"),
-        F.col("body").rlike("[,;:]$|[\\s(«][“„«(\\[]$|&[#\\w]*$|[<\\[(][^<>()\\[\\]]{0,12}$").alias("hanging"),
-        F.element_at(_words(F.regexp_replace("body", r"(?<![\s….])[\s….]++$", "")), -1).alias("word"),
-        F.col("body").rlike(r"(?<![\p{L}\p{N}\p{M}’'-])\p{Lu}[\p{L}\p{N}\p{M}’'-]*[\s….]*$").alias("capital"),
-        F.size(F.split(F.regexp_replace("body", _LIST_MARK, ""), _SENTENCE)).alias("sentences"),
-        (
-            (F.size(F.regexp_extract_all("body", F.lit("[“«„]"), 0)) > 0)
-            & (F.regexp_extract(F.reverse("body"), "[“«„”»]", 0).isin("«", "„") | (F.regexp_extract(F.reverse("body"), "[“«„”»]", 0) == "“") & ~F.col("body").contains("„"))
-        ).alias("quoted"),
-        F.when(~F.col("finished") & ~noted & (F.size(F.split(F.regexp_replace("body", _LIST_MARK, ""), _SENTENCE)) == 1), _words(F.col("body"))).alias("line"),
-    )
-    endings = scratch.write(endings, "endings")
     limit = max(total // 2000, 1000)
     known_well = F.col("whole_n") >= LEAST * total
     grade = statistics.select(
         "word",
         "n",
+        "inner",
         (known_well & (F.col("ends") < 0.002 * F.col("whole_n"))).alias("never_last"),
-        (known_well & ((F.col("p2") >= 0.2 * F.col("whole_n")) | (F.col("p1") >= 0.7 * F.col("whole_n")) | (F.col("p3") >= 0.7 * F.col("whole_n"))) & (F.col("lines") * sentences <= (0.5 * F.col("whole_n") + STRAY * sentences) * lines) & ~F.col("word").rlike("^[0-9]")).alias("predicate"),
-        F.col("inner"),
+        (
+            known_well
+            & ((F.col("p2") >= 0.2 * F.col("whole_n")) | (F.col("p1") >= 0.7 * F.col("whole_n")) | (F.col("p3") >= 0.7 * F.col("whole_n")))
+            & (F.col("lines") * sentences <= (0.5 * F.col("whole_n") + STRAY * sentences) * lines)
+            & ~F.col("word").rlike("^[0-9]")
+        ).alias("predicate"),
     )
     grade = scratch.write(grade, "grades")
-    open_ends = endings.where("not noted and (not finished or ellipsis)")
     often = grade.where(F.col("inner") >= STARTED * total).select(F.col("word").alias("of"), F.col("inner").alias("started"))  # at most 1 / STARTED words
     short = often.select(F.explode(F.sequence(F.lit(1), F.least(F.length("of") - 1, F.lit(SHORT)))).alias("i"), "of", "started").where("i between 1 and length(of) - 1").select(F.expr("left(of, i)").alias("word"), "started")
     # a longer fragment is compared with the words of its first SHORT characters
@@ -252,30 +319,135 @@ def judged(documents: DataFrame) -> DataFrame:
     long = long.join(small_or_shuffled(often.where(F.length("of") > SHORT).select("of", "started", F.substring("of", 1, SHORT).alias("head"))), "head").where(F.startswith("of", "word") & (F.col("of") != F.col("word"))).select("word", "started")
     starts = small_or_shuffled(short.unionByName(long).groupBy("word").agg(F.max("started").alias("started")))
     ends = grade.join(starts, "word", "left").select("word", "n", "never_last", F.coalesce(F.col("inner") <= FRAGMENT * F.col("started"), F.lit(False)).alias("fragment"))
-    last = attach(open_ends.where("word is not null").select("doc_id", "word"), ["word"], ends, limit)
-    unclear = open_ends.where("line is not null").select("doc_id", F.explode(F.array_distinct("line")).alias("word"))
+
+    marks = endings.withColumn("last", F.element_at("sentences", -1)).withColumn("single", F.size("sentences") == 1)
+    open_ends = marks.where("not noted and (not finished or dots is not null)")
+    last = attach(open_ends.where(F.size("last") > 0).select("doc_id", F.element_at("last", -1).alias("word")), ["word"], ends, limit)
+    unclear = open_ends.where("not finished and single").select("doc_id", F.explode(F.array_distinct("last")).alias("word"))
     clauses = attach(unclear, ["word"], grade.where("predicate").select("word", "n"), limit).select("doc_id").distinct().withColumn("clause", F.lit(True))
-    known = endings.join(last.select("doc_id", "never_last", "fragment"), "doc_id", "left").join(clauses, "doc_id", "left")
+    known = marks.drop("sentences", "last").join(last.select("doc_id", "never_last", "fragment"), "doc_id", "left").join(clauses, "doc_id", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
     # a capitalised word may be a name or noun that only happens never to end a sentence
-    inside = (flag("never_last") & ~F.col("capital")) | flag("fragment")
-    evidence = (
-        F.when(F.col("noted"), WHOLE)
-        .when(F.col("finished") & ~F.col("ellipsis"), WHOLE)
-        .when(F.col("finished"), F.when(inside, UNFINISHED).otherwise(WHOLE))
-        .when(F.col("hanging") | inside | F.col("quoted") | (F.col("sentences") > 1), UNFINISHED)
-        .when(flag("clause"), CLAUSE)
-        .otherwise(HEADING)
+    inside = (flag("never_last") & ~F.col("capital")) | flag("fragment") | F.col("quoted")
+    dotted = F.col("dots")
+    kind = (
+        F.when(F.col("noted"), "noted")
+        .when(F.col("finished") & dotted.isNull(), "finished")
+        .when(F.col("finished") & inside, F.concat(dotted, F.lit("_inside")))
+        .when(F.col("finished") & F.col("closed"), "ellipsis_closed")
+        .when(F.col("finished"), dotted)
+        .when(F.col("hanging") | inside, "inside")
+        .when(~F.col("single"), "later_sentence")
+        .when(flag("clause"), "clause")
+        .otherwise("heading")
     )
-    told = scratch.write(known.select("doc_id", "source", F.col("chars").cast("long").alias("chars"), F.col("bytes").cast("long").alias("bytes"), evidence.alias("evidence")), "told")
+    return scratch.write(known.select("doc_id", "source", "text_hash", *UNITS, kind.alias("kind")), "told")
+
+
+def fit_endings(table: pd.DataFrame, inner: dict[str, float], rounds: int = 40) -> dict:
+    """EM over (rate_bin, rate, posterior, kind, n) counts.
+
+    ``inner`` is how often a sentence inside of a text ends in each mark, as a part of the plain
+    ones.  Returns ``at_limit`` and ``elsewhere`` (log ratio of each kind to whole texts),
+    ``between`` (part of limits between sentences), ``rates`` of the rate bins and the
+    ``overall`` rate.
+    """
+    names = list(KINDS)
+    index = table["kind"].map({k: i for i, k in enumerate(names)}).to_numpy()
+    n, posterior, bins = (table[c].to_numpy(float) for c in ("n", "posterior", "rate_bin"))
+    rate = table["rate"].to_numpy(float).copy()
+    able = np.array([KINDS[k] is not None for k in names])
+    start = np.array([KINDS[k] or 0.0 for k in names])
+    lean = np.where(able, 1 / (1 + np.exp(-start)), 0.0)
+    known = np.array([names.index(k) for k in inner], int)
+    known_part = np.array(list(inner.values()))
+    count = np.bincount(index, n, len(names))
+    share = lambda c: c / max(c.sum(), 1e-300)
+    left = np.array([LEAN_HEADING if k == "heading" else LEAN for k in names])
+    surely = [names.index(k) for k in INSIDE]
+    seen = np.maximum(count, 1e-4 * count.sum())
+    cut_elsewhere = cut_at_limit = share(seen * lean)
+    whole, between = share(seen * (1 - lean)), 0.1
+    for _ in range(rounds):
+        l = posterior * (1 - between) * cut_at_limit[index]
+        e = (1 - posterior) * rate * cut_elsewhere[index]
+        b = posterior * between * whole[index]
+        w = (1 - posterior) * (1 - rate) * whole[index]
+        every = np.maximum(l + e + b + w, 1e-300)
+        l, e, b, w = (n * x / every for x in (l, e, b, w))
+        # a fixed part of each kind's texts stays as the start says, whatever the size of the corpus
+        held = left * seen
+        in_limit, in_else, in_whole = (np.bincount(index, x, len(names)) for x in (l, e, b + w))
+        cut_at_limit = share((1 - left) * in_limit + held * lean * in_limit.sum() / max(in_limit.sum() + in_else.sum(), 1e-9))
+        in_else = (1 - left) * in_else + held * lean * in_else.sum() / max(in_limit.sum() + in_else.sum(), 1e-9)
+        # a mark behind a cut does not change where it falls
+        told = in_else[names.index("inside")] / max(sum(in_else[names.index(k)] for k in UNMARKED), 1e-300)
+        for mark in MARKS:
+            at, behind = names.index(mark), names.index(f"{mark}_inside")
+            marked = in_else[at] + in_else[behind]
+            in_else[at], in_else[behind] = (1 - told) * marked, told * marked
+        cut_elsewhere = share(in_else)
+        sure = cut_elsewhere[surely].sum()
+        in_whole = (1 - left) * in_whole + held * (1 - lean)
+        plain = in_whole[names.index("finished")]
+        in_whole[known] = known_part * plain
+        whole = share(in_whole)
+        between = (b.sum() + 0.5) / (b.sum() + l.sum() + 1)
+        for r in np.unique(bins):
+            here = bins == r
+            # only sure cuts tell a source's rate
+            rate[here] = np.clip(e[here & np.isin(index, surely)].sum() / max(sure * (n * (1 - posterior))[here].sum(), 1e-9), math.exp(-SURE), 0.9)
+    ratio = lambda c: dict(zip(names, np.clip(np.log(np.maximum(c, 1e-12) / np.maximum(whole, 1e-12)), -SURE, SURE).tolist(), strict=True))
+    return {
+        "at_limit": ratio(cut_at_limit),
+        "elsewhere": ratio(cut_elsewhere),
+        "between": float(between),
+        "rates": {int(r): float(rate[bins == r][0]) for r in np.unique(bins)},
+        "overall": float((l.sum() + e.sum()) / max(n.sum(), 1)),
+    }
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, kind, posterior, score, by_ending): log odds of every text; positive means cut off.
+
+    ``by_ending`` is the score with the overall rate as prior, that is without the length evidence.
+    """
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "truncation")
+    endings = scratch.write(endings_of(documents), "endings")
+    ends, ellipses, dots = (x or 0 for x in endings.agg(F.sum("inner_ends"), F.sum("inner_ellipsis"), F.sum("inner_dots")).first())
+    inner = {"ellipsis": (max(ellipses, 0) + 1) / (ends + 1), "dots": (dots + 1) / (ends + 1)}
+    told = _told(endings, scratch)
+    scratch.drop("endings", "words", "grades")
     limits = scratch.write(field_limits(told), "limits")
-    by_unit = lambda u: small_or_shuffled(limits.where(F.col("unit") == u).select(F.col("source").alias(f"_{u}"), F.col("length").alias(f"l_{u}"), F.col("posterior").alias(f"p_{u}")))
     scored = told
-    for u in ("chars", "bytes"):
-        scored = scored.join(by_unit(u), (F.col(u) == F.col(f"l_{u}")) & F.col("source").eqNullSafe(F.col(f"_{u}")), "left")
-    scored = scored.select("doc_id", "source", "evidence", F.greatest("p_chars", "p_bytes").alias("posterior"))
-    odds = F.log(F.col("posterior") / (1 - F.col("posterior")))
-    return scored.withColumn("score", F.col("evidence") + F.when(F.col("posterior").isNull(), PRIOR).otherwise(F.greatest(F.least(odds, F.lit(4.0)), F.lit(-1.0))))
+    for u in UNITS:
+        at = small_or_shuffled(limits.where(F.col("unit") == u).select(F.col("source").alias(f"_{u}"), F.col("length").alias(f"l_{u}"), F.col("posterior").alias(f"p_{u}")))
+        scored = scored.join(at, (F.col(u) == F.col(f"l_{u}")) & F.col("source").eqNullSafe(F.col(f"_{u}")), "left")
+    posterior = F.coalesce(F.greatest(*[F.col(f"p_{u}") for u in UNITS]), F.lit(0.0))
+    scored = scratch.write(scored.select("doc_id", "source", "kind", posterior.alias("posterior")), "scored")
+    # a source's rate away from limits to begin with: its surely cut texts, in bins of its logarithm
+    free = F.col("posterior") < 0.5
+    sure = F.col("kind").isin(*INSIDE)
+    rate = (F.count_if(free & sure) + 0.02) / (F.count_if(free) + 1.0)
+    of_source = scored.groupBy("source").agg(rate.alias("rate")).select(F.col("source").alias("_source"), F.least(F.lit(RATE_BINS - 1), F.floor(-4 * F.log("rate"))).cast("int").alias("rate_bin"))
+    of_source = scratch.write(of_source, "sources")
+    step = F.round(F.col("posterior") * POSTERIOR_BINS) / POSTERIOR_BINS
+    binned = scored.join(small_or_shuffled(of_source), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    table = binned.groupBy("rate_bin", F.least(step, F.lit(0.999)).alias("posterior"), "kind").agg(F.count("*").alias("n")).toPandas()  # at most RATE_BINS * POSTERIOR_BINS * kinds rows
+    if not len(table):
+        return scored.withColumn("score", F.lit(0.0)).withColumn("by_ending", F.lit(0.0))
+    table["rate"] = np.exp(-(table["rate_bin"] + 0.5) / 4)
+    fit = fit_endings(table.sort_values(["rate_bin", "kind", "posterior"], ignore_index=True), inner)
+    literal = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    able = F.col("kind").isin(*[k for k, v in KINDS.items() if v is not None])
+    ratio = lambda of: F.exp(literal(fit[of])[F.col("kind")])
+    p, rate = F.col("posterior"), literal(fit["rates"])[F.col("rate_bin")]
+    cut = p * (1 - fit["between"]) * ratio("at_limit") + (1 - p) * rate * ratio("elsewhere")
+    whole = p * fit["between"] + (1 - p) * (1 - rate)
+    alone = fit["overall"] / (1 - fit["overall"]) * F.greatest(ratio("at_limit"), ratio("elsewhere"))
+    score = lambda odds: F.when(able, F.log(F.greatest(odds, F.lit(math.exp(-2 * SURE))))).otherwise(-2 * SURE)
+    return binned.select("doc_id", "source", "kind", "posterior", score(cut / whole).alias("score"), score(alone).alias("by_ending"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -393,12 +393,46 @@ def test_texts_cut_inside_long_words(spark):
     assert cut.keys() <= got and not whole.keys() & got
 
 
-def test_censored_fit_recovers_the_limit():
+def test_censored_fit_recovers_the_limits():
     rng = np.random.default_rng(0)
-    lengths = np.exp(rng.normal(4.5, 0.8, 20_000)).astype(int) + 1
-    lengths = np.where((lengths > 120) & (rng.random(len(lengths)) < 0.7), 120, lengths)
+    natural = np.exp(rng.normal(4.5, 0.8, 40_000)).astype(int) + 1
+    way = rng.random(len(natural))
+    lengths = np.where((natural > 120) & (way < 0.5), 120, np.where((natural > 200) & (way > 0.8), 200, natural))
     values, counts = np.unique(lengths, return_counts=True)
-    mu, sigma, part, gain = truncation.censored_fit(values, counts, 120)
-    assert abs(mu - 4.5) < 0.05 and abs(sigma - 0.8) < 0.05 and abs(part - 0.7) < 0.05 and gain > 100
+    mu, sigma, parts, posteriors, gain = truncation.censored_fit(values, counts, [120, 200])
+    assert abs(mu - 4.5) < 0.05 and abs(sigma - 0.8) < 0.05 and abs(parts[0] - 0.5) < 0.05 and abs(parts[1] - 0.2) < 0.05 and gain > 100
+    assert (posteriors > 0.9).all()
+    alone = truncation.censored_fit(values, counts, [120])
+    assert gain > alone[-1]  # both limits explain the lengths better than one
 
 
+def test_length_decides_where_endings_do_not(spark):
+    """Lists without a predicate look like headings wherever they end: only a limit's length tells the cut ones."""
+    rng = random.Random(3)
+    rows, cut = [], set()
+    for i in range(3000):
+        source = rng.choice(["limited", "free"])
+        line = f"The {rng.choice('abcdefghijk') * rng.randint(1, 9)} " + " and the ".join(rng.choice(NOUNS) for _ in range(rng.randint(2, 9)))
+        if source == "limited" and len(line) > 60:
+            line = line[:60]
+            cut.add(i)
+        rows.append((i, source, line))
+    rows += [(10_000 + i, "free", " ".join(sentence(rng) + "." for _ in range(3))) for i in range(1500)]
+    got = {r["doc_id"]: r for r in truncation.judged(documents(spark, rows)).collect()}
+    heads = {i for i in range(3000) if got[i]["kind"] == "heading"}
+    found = {i for i in heads if got[i]["score"] > 0}
+    # a line of exactly the limit's length, or one less, cannot be told from a cut one
+    assert len(cut & heads) > 200 and cut & heads <= found and all(len(rows[i][2]) in (59, 60) and rows[i][1] == "limited" for i in found)
+    assert all(got[i]["by_ending"] <= 0 for i in found)  # the ending alone would let them pass
+
+
+def test_a_source_that_never_cuts_lowers_a_weak_ending(spark):
+    """Whole sentences end in an ellipsis now and then; behind a torn text it is a mark of the cut."""
+    rng = random.Random(4)
+    whole = lambda end="": " ".join(sentence(rng) + rng.choice(".......…") for _ in range(3)) + end
+    rows = [(i, "torn", whole()[: rng.randint(20, 60)].rstrip(".… ") + "…") for i in range(400)] + [(1000 + i, "torn", whole()) for i in range(100)]
+    rows += [(5000 + i, "clean", whole()) for i in range(1500)]
+    got = {r["doc_id"]: r for r in truncation.judged(documents(spark, rows)).collect()}
+    assert all(r["score"] <= 0 for i, r in got.items() if i >= 5000)
+    torn = [got[i] for i in range(400) if got[i]["kind"] == "ellipsis"]
+    assert len(torn) > 50 and all(r["score"] > 0 for r in torn)
