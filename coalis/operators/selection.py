@@ -1,4 +1,4 @@
-"""Exact per-key quantiles by refining value histograms with mergeable counts.
+"""Exact selection by refining histograms with mergeable counts: per-key quantiles and heavy keys.
 
 No key's values are ever gathered.  A round splits the open interval of each (key,
 quantile) into ``2**bits`` equal bins, adds the counts of the bins (combined on the map
@@ -82,3 +82,33 @@ def key_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 
 
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], min_rows: int, *, bits: int = 16) -> DataFrame:
+    """(keys, n) of each key with at least ``min_rows`` rows, without counting the other keys one by one.
+
+    The same selection over the order of the keys' hashes: a key with ``min_rows`` rows covers a
+    rank that is a multiple of ``min_rows``, so each round keeps the bins that can hold such a
+    rank (those with ``min_rows`` rows, at most total / min_rows of them) and splits them into
+    ``2**bits`` again, until a bin is one hash.  A map task sends at most one count a bin and
+    kept bin, however many keys there are; the many light keys leave after the first round or two.
+    The rows of the resolved hashes are then counted by key, which tells keys of one hash apart.
+
+    Defined cases: a null part is a key; repeated rows all count; ``min_rows`` below 1 counts as
+    1; an empty input gives an empty result; other columns are ignored.
+    """
+    scratch = Scratch(rows.sparkSession, "heavy")
+    least = max(min_rows, 1)
+    hashed = rows.select(*keys, F.xxhash64(*[c for k in keys for c in (F.col(k), F.col(k).isNull())]).alias("_h"))
+    hashed = scratch.write(hashed, "hashed")
+    prefix = lambda depth: F.shiftrightunsigned("_h", 64 - depth).alias("_bin") if depth < 64 else F.col("_h").alias("_bin")
+    kept, inside = None, hashed.select("_h")
+    for depth in [*range(bits, 64, bits), 64]:
+        if kept is not None:
+            inside = hashed.select("_h", prefix(done)).join(small_or_shuffled(kept.select("_bin")), "_bin", "left_semi").select("_h")
+        bins = inside.groupBy(prefix(depth)).agg(F.count("*").alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi")).where(F.col("n") >= least)
+        kept, done = scratch.write(bins, f"bins{depth}"), depth
+        if not kept.where("lo <> hi").limit(1).count():
+            break
+    hot = hashed.join(small_or_shuffled(kept.select(F.col("lo").alias("_h"))), "_h", "left_semi")
+    return hot.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coalis.operators.blocks import block_keys
-from coalis.operators.selection import key_quantiles
+from coalis.operators.selection import heavy_keys, key_quantiles
 from coalis.sources.tables import table
 
 #: Part of all candidate rows from which a key is hot.
@@ -25,8 +25,7 @@ def _delays(candidates: DataFrame) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = table(spark, sf_dir, "candidates")
     least = max(math.ceil(HOT_SHARE * candidates.count()), 1)
-    profile = key_quantiles(_delays(candidates), ["block_kind", "block_key"], "delay", PROBS, min_rows=least)
-    return profile.select("block_kind", "block_key")
+    return heavy_keys(block_keys(candidates), ["block_kind", "block_key"], least).select("block_kind", "block_key")
 
 
 def p4_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:

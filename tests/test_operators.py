@@ -12,7 +12,7 @@ from coalis.operators.compare import compare, join_pairs
 from coalis.operators.groups import label_groups
 from coalis.operators.merge import merge_group
 from coalis.operators.pairwise import decide
-from coalis.operators.selection import key_quantiles
+from coalis.operators.selection import heavy_keys, key_quantiles
 from coalis.schema import RAW
 from coalis.sources import wire
 
@@ -255,6 +255,20 @@ def test_key_quantiles_are_exact(spark):
     assert key_quantiles(df.where("false"), ["k"], "v", probs).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 16])
+def test_heavy_keys_are_exact(spark, bits):
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), rng.choice([None, "hot", "hot", "hot", "warm", *map(str, range(300))])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "kind string, k string").withColumn("_h", F.lit(0)).withColumn("n", F.lit("x"))
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    for least in (0, 5, 8, 100, 5000):
+        got = [(r["kind"], r["k"], r["n"]) for r in heavy_keys(df, ["kind", "k"], least, bits=bits).collect()]
+        assert sorted(got, key=str) == sorted(((*k, n) for k, n in counts.items() if n >= least), key=str)
+    assert heavy_keys(df.where("false"), ["kind", "k"], 1).count() == 0
+
+
 def test_wire_round_trip_and_strictness(spark):
     built = C.accepted(C.build(raw(spark, {"kind": ("other", "x"), "title": 'a "quoted" }', "purls": ["pkg:a/b@1"]}, {"issues": ["CVE-1"]})))
     lines = built.select(wire.candidate_json().alias("json"))
