@@ -12,7 +12,7 @@ import math
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,11 +53,40 @@ def lcs_short(a: Column, b: Column) -> Column:
     return n - F.bit_count(last)
 
 
+#: Characters up to which the shorter text fits the bits of one long.
+SHORT = 62
+
+
+def is_short(a: Column, b: Column) -> Column:
+    """Whether :func:`similarity` can score the pair."""
+    return F.coalesce(F.least(F.length(a), F.length(b)) <= SHORT, F.lit(True))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Basis points of two normalised texts (shorter side up to 62 characters); 0 if either is empty."""
+    """Basis points of two normalised texts; 0 if either is empty, null if either is null.
+
+    The shorter side may have up to :data:`SHORT` characters; a longer pair is an error, see
+    :func:`with_similarity` for any length.
+    """
     total = F.length(a) + F.length(b)
     ratio = F.lit(1.0) - (total - 2 * lcs_short(a, b)) / total
-    return F.when((a == "") | (b == ""), 0).otherwise(to_score(ratio))
+    long = F.raise_error(F.lit(f"both texts have more than {SHORT} characters")).cast("int")
+    return F.when((a == "") | (b == ""), 0).when(~is_short(a, b), long).otherwise(to_score(ratio))
+
+
+@F.arrow_udf(T.IntegerType())
+def _long_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else score_of(min(x, y), max(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+
+def with_similarity(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with the basis points of the normalised texts in ``a`` and ``b``, of any length.
+
+    Only pairs of two long texts go through Python.
+    """
+    x, y = F.col(a), F.col(b)
+    short = rows.where(is_short(x, y)).withColumn(name, similarity(x, y))
+    return short.unionByName(rows.where(~is_short(x, y)).withColumn(name, _long_similarity(x, y)))
 
 
 def lcs(a: str, b: str) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coalis.config import Config
 from coalis.functions import keys as K
-from coalis.functions.similarity import normal_text, similarity
+from coalis.functions.similarity import normal_text, with_similarity
 from coalis.functions.subjects import parse_subjects
 from coalis.functions.text import normalize_issue, trim_unicode
 from coalis.operators import blocking as B
@@ -60,10 +60,10 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 select a.k, {lcs_sql('a.t', 'b.t')} as score from n a join n b on b.k = a.k + 1"""
 )
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring parts' texts by the JVM-side bit-parallel expression."""
+    """Neighbouring parts' texts."""
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), normal_text(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
     b = n.select((F.col("k") - 1).alias("k"), F.col("t").alias("u"))
-    return n.join(b, "k").select("k", similarity(F.col("t"), F.col("u")).alias("score"))
+    return with_similarity(n.join(b, "k"), "t", "u", "score").select("k", "score")
 
 
 @query(f"select cand_id, issue from (select cand_id, {ISSUE} as issue from (select cand_id, unnest(issue_ids) as i from candidates) where i is not null) where issue <> ''")
@@ -85,13 +85,13 @@ def purl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BAD_PURLS = (
-    ("pkg:generic/widget%ZZ@", "InvalidPercentEscape", 18),
-    ("pkg:generic/widget@?v=", "EmptyPurlVersion", None),
-    ("pkg:generic/widget?arch=&k=", "EmptyPurlQualifierValue", None),
-    ("pkg:generic/widget?arch&k=", "InvalidPurlQualifier", None),
-    ("pkg:generic/widget?Arch=x86&arch=", "DuplicatePurlQualifier", None),
-    ("pkg:generic/widget#a?b=", "InvalidPurl", None),
-    ("urn:generic/widget@", "UnsupportedSubjectId", None),
+    ("pkg:generic/la%4gmp@", "InvalidPercentEscape", 14),
+    ("pkg:generic/lamp@?v=", "EmptyPurlVersion", None),
+    ("pkg:generic/lamp?abi=&k=", "EmptyPurlQualifierValue", None),
+    ("pkg:generic/lamp?abi&k=", "InvalidPurlQualifier", None),
+    ("pkg:generic/lamp?ABI=1&abi=", "DuplicatePurlQualifier", None),
+    ("pkg:generic/lamp#a?b=", "InvalidPurl", None),
+    ("urn:generic/lamp@", "UnsupportedSubjectId", None),
 )
 
 
@@ -252,10 +252,8 @@ def compare_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events four apart (always of one source): the partition, kind and source boundaries."""
     prepared = X.events(spark, sf_dir)
     pairs = prepared.select(F.col("key").alias("left"), (F.col("key").cast("long") + 4).cast("string").alias("right"))
-    keys = F.least(F.col("l.key").cast("long"), F.col("r.key").cast("long")).cast("string").alias("event")
     joined = join_pairs(pairs, prepared)
     out = compare(joined).withColumn("event", F.least(F.col("left").cast("long"), F.col("right").cast("long")).cast("string"))
-    del keys
     return out.select("event", "decision", F.size("signals").cast("int").alias("n_signals"), F.element_at("signals", -1)["kind"].alias("last_kind"))
 
 

@@ -52,7 +52,7 @@ ISSUE = {"issues": ["CVE-1"]}
         (ISSUE | {"purls": ["pkg:PYPI/a_b@1"]}, ISSUE | {"purls": ["pkg:pypi/a-b@1"]}, {}, ("duplicate", "exact_correlation")),
         (ISSUE, ISSUE | {"partition": "p2"}, {}, ("not_comparable", "blocked")),
         (ISSUE, ISSUE | {"kind": ("code", None)}, {}, ("not_comparable", "blocked")),
-        (ISSUE | {"purls": ["pkg:cargo/widget"]}, ISSUE | {"purls": ["pkg:cargo/different-widget"]}, {}, ("distinct", "blocked")),
+        (ISSUE | {"purls": ["pkg:cargo/widget"]}, ISSUE | {"purls": ["pkg:cargo/lantern"]}, {}, ("distinct", "blocked")),
         (ISSUE | {"purls": ["pkg:cargo/widget@1"]}, ISSUE | {"cpes": ["cpe:2.3:a:acme:widget:1:*:*:*:*:*:*:*"]}, {}, ("review", "fuzzy")),
         (ISSUE, ISSUE, {"issue_only_exact": True}, ("duplicate", "exact_correlation")),
         ({"issues": ["A"], "title": "same"}, {"issues": ["B"], "title": "same"}, {}, ("distinct", "blocked")),
@@ -90,7 +90,7 @@ def findings(rng, n):
             "purls": pick(["pkg:generic/w@1", "pkg:generic/w@2", "pkg:generic/w@1?arch=x", "pkg:generic/v"], 2),
             "cpes": pick(["cpe:/a:v:w:1", "cpe:/a:v:w:2", "cpe:/a:v:w"], 1),
             "subject_names": pick(["widget", "wodget", "gadget!"], 2),
-            "title": rng.choice(["alpha beta", "alpha beta gamma", "beta gamma", "t"]),
+            "title": rng.choice(["lamp mill", "lamp mill kit", "mill kit", "t"]),
             "location": rng.choice([None, "src/a", "src/b"]),
             "affected_version": rng.choice([None, "1", "3"]),
         }
