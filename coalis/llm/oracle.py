@@ -1,7 +1,6 @@
 """DuckDB SQL for the pN_ queries that SQL can express on whole tables."""
 
 from coalis.plans.hot import ISSUE as _ISSUE
-from coalis.plans.hot import SUBJECT_COORDINATE
 
 from .survivorship import STAND_INS
 
@@ -60,7 +59,6 @@ group by 1"""
 
 
 P5 = _repeats(_CANONICAL, "accepted_id")
-P5_NEAR = f"select * from ({_repeats(SUBJECT_COORDINATE, 'near_id')}) where cand_id not in (select cand_id from ({P5}))"
 
 _PICKS = ", ".join(
     f"max(case when f.field_name = '{f}' then {v} end) as {f}, max(case when f.field_name = '{f}' then f.cand_id end) as {f}_from"
@@ -93,4 +91,4 @@ b as (select a.cand_id as x, c.cand_id as y, count(*) as common from f a join f
   group by 1, 2)
 select x as cand_id_a, y as cand_id_b from b join s sx on sx.cand_id = x join s sy on sy.cand_id = y where common::double / (sx.size + sy.size - common) > 0.8"""
 
-SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_near": P5_NEAR}
+SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p2_found": P2, "p3_found": P3, "p5_found": P5}

@@ -201,8 +201,10 @@ def test_fingerprint_bits_estimate_jaccard():
 # ------------------------------------------------------------------ 5
 
 
-@pytest.mark.parametrize(("entries", "every"), [(1 << 20, 4), (16, 1)])
-def test_repeated_matches_brute_force(spark, entries, every):
+@pytest.mark.parametrize(("entries", "every"), [(1 << 20, 4), (8, 1)])
+def test_repeated_matches_brute_force(spark, entries, every, monkeypatch):
+    if entries < 100:
+        monkeypatch.setattr(incremental, "PAGE", 2)
     rng = random.Random(9)
     subjects = ["pkg:pypi/A_b@1", "pkg:pypi/a-b@1", "pkg:PYPI/a-b@2", "cpe:/a:V:p:1", "cpe:2.3:a:v:p:1:*:*:*:*:*:*:*", "pkg:deb/d/x@1?b=2&A=1", "pkg:deb/d/x@1?a=1&b=2", "nonsense", None]
     issues = ["cve-1", "CVE-1 ", "ADV-x", "adv-x", " ", None]
@@ -241,6 +243,50 @@ def test_repeated_matches_brute_force(spark, entries, every):
     assert dict(incremental.repeated(history.where("false"), incoming.where("batch_no = 1")).collect()) == {}
 
 
+def test_runs_are_opened_again_and_read_in_part(spark, tmp_path):
+    rows = [{"cand_id": i, "partition": f"p{i % 40:02}", "issue_ids": [f"I-{i % 1000:04}"], "subject_ids": [f"pkg:deb/d/x{i % 77}@1"]} for i in range(1, 4001)]
+    folder = f"file://{tmp_path}/runs"
+    incremental.repeated(candidates(spark, rows), candidates(spark, [], "batch_no int"), range_entries=200, folder=folder)
+    runs = incremental.SortedRuns.open(spark, folder)
+    assert len(runs.state["splits"]) > 10 and runs.state["runs"][0][1] > 3000
+    new = [dict(r, cand_id=10_000 + i) for i, r in enumerate(rows[5:4000:800])] + [dict(rows[0], cand_id=11_000, issue_ids=["new"])]
+    scratch = incremental.Scratch(spark, "again")
+    keyed = scratch.write(incremental.exact_keys(candidates(spark, new), "cand_id"), "batch")
+    name = runs.write(keyed.groupBy("key").agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n"), F.lit(None).cast("string").alias("bag")))
+    assert runs.around(name).count() <= 6 * incremental.PAGE  # a few pages of 4,000 entries
+    got = dict(incremental.add_batch(runs, keyed, keyed.count(), scratch, "x").collect())
+    assert got == {10_000 + i: r["cand_id"] for i, r in enumerate(rows[5:4000:800])}
+    again = incremental.SortedRuns.open(spark, folder)  # the batch is history for the next job
+    late = incremental.exact_keys(candidates(spark, [dict(new[-1], cand_id=12_000)]), "cand_id")
+    assert dict(incremental.add_batch(again, late, 1, scratch, "y").collect()) == {12_000: 11_000}
+
+
+def test_near_repeats_are_found_in_windows(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "PAGE", 16)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    told = [rng.sample(vocabulary, 14) for _ in range(300)]
+    base = lambda i: {"partition": f"p{i % 3}", "issue_ids": [f"I{i % 20}"], "subject_ids": [f"pkg:a/b{i % 7}@{i % 3}"]}
+    old = [base(i) | {"cand_id": i + 1, "title": " ".join(w)} for i, w in enumerate(told)]
+    old += [{"cand_id": 900, "title": None}, {"cand_id": 901, "title": "?"}]
+    new = [base(i) | {"cand_id": 1000 + i, "title": noisy(rng, told[i]), "batch_no": rng.choice([1, 2, None])} for i in range(0, 300, 2)]
+    new += [base(i) | {"cand_id": 2000 + i, "title": noisy(rng, told[i]), "batch_no": 9} for i in range(1, 300, 5)]
+    history, incoming = clashing(candidates(spark, old)), clashing(candidates(spark, [{"title": None} | r for r in new], "batch_no int"))
+    text = lambda r: " ".join(sorted(r["title"].lower().replace("-", " ").split()))
+    order = lambda r: r.get("batch_no") or 10**9
+    said = [(r, nearcopies.features(text(r)), -1 if r["cand_id"] < 1000 else order(r)) for r in old[:300] + new]
+    pairs = {}
+    for r, f, b in said:
+        if b >= 0:
+            near = {o["cand_id"] for o, g, c in said if c < b and o["partition"] == r["partition"] and nearcopies.jaccard(f, g) > 0.8}
+            if near:
+                pairs[r["cand_id"]] = near
+    got = dict(incremental.nearly_repeated(history, incoming, range_entries=100).collect())
+    assert all(got[i] in pairs[i] for i in got)
+    assert len(pairs) > 100 and len(got) >= 0.9 * len(pairs)
+    assert incremental.nearly_repeated(history.where("false"), incoming.where("false")).count() == 0
+
+
 # ------------------------------------------------------------------ 6
 
 
