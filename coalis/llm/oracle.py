@@ -79,16 +79,22 @@ cc(k, g) using key (k) as (
   select e.a, min(cc.g) from cc join e on e.b = cc.k join recurring.cc as old on old.k = e.a where cc.g < old.g group by e.a)
 select k as occurrence_key, g as group_key from cc"""
 
-# Every pair with a common trigram is counted here, which only small tables allow.
+# Every pair with a common bigram is counted here, which only small tables allow.
 P3 = r"""
 with w as (select cand_id, partition, kind, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', title, array_to_string(subject_names, ' '), location)), '\p{Cf}+', '', 'g'),
   '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) as t from candidates where partition is not null and kind.tag is not null),
 x as (select cand_id, partition, kind, unnest(string_split(t, ' ')) as word from w where t <> ''),
-g as (select cand_id, partition, kind, word, unnest(range(1, length(word) + 1)) as i from x),
-f as (select cand_id, partition, kind, gram, row_number() over (partition by cand_id, gram) as n from (select *, substr(' ' || word || ' ', i::int, 3) as gram from g)),
+g as (select cand_id, partition, kind, word, unnest(range(1, length(word) + 2)) as i from x),
+f as (select cand_id, partition, kind, gram, row_number() over (partition by cand_id, gram) as n from (select *, substr(' ' || word || ' ', i::int, 2) as gram from g)),
 s as (select cand_id, count(*) as size from f group by 1),
 b as (select a.cand_id as x, c.cand_id as y, count(*) as common from f a join f c on a.partition = c.partition and a.kind is not distinct from c.kind and a.gram = c.gram and a.n = c.n and a.cand_id < c.cand_id
   group by 1, 2)
 select x as cand_id_a, y as cand_id_b from b join s sx on sx.cand_id = x join s sy on sy.cand_id = y where common::double / (sx.size + sy.size - common) > 0.8"""
 
-SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p2_found": P2, "p3_found": P3, "p5_found": P5}
+P3_CLASSES = P3.replace("select x as cand_id_a, y as cand_id_b from", """, j as materialized (select x, y from""") + r"""),
+k as (select cand_id, partition, kind, list_sort(string_split(t, ' ')) as t from w where t <> ''),
+c as (select cand_id, min(cand_id) over (partition by partition, kind, t) as class_id, count(*) over (partition by partition, kind, t) as class_size from k),
+o as (select z, count(*) as links from (select unnest([x, y]) as z from j where x in (select class_id from c) and y in (select class_id from c)) group by 1)
+select cand_id, class_id, class_size, coalesce(links, 0) as links from c left join o on z = class_id"""
+
+SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p2_found": P2, "p3_found": P3, "p3_classes": P3_CLASSES, "p5_found": P5}

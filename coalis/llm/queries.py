@@ -27,6 +27,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.candidate_copies(table(spark, sf_dir, "candidates"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.candidate_classes(table(spark, sf_dir, "candidates"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.repeated(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "incoming_candidates"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "p1_golden": p1_golden,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p5_found": p5_found,
     "p5_near": p5_near,
     "p6_packed": p6_packed,

@@ -151,6 +151,28 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     assert nearcopies.candidate_copies(df.where("false")).count() == 0
 
 
+def test_repeated_words_count_in_fingerprints(spark):
+    """Texts of Jaccard 0.87 whose words repeat: their sets of words agree far less than their bags."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(7))
+    rows, expected = [], set()
+    for i in range(40):
+        few, extra = [word() for _ in range(3)], [word() for _ in range(2)]
+        rows += [{"title": " ".join(few * 9 + extra[:1])}, {"title": " ".join(few * 9 + extra)}]
+    a, b = (nearcopies.features(" ".join(sorted(r["title"].split()))) for r in rows[:2])
+    assert nearcopies.jaccard(a, b) > 0.85
+    got = {tuple(r) for r in nearcopies.candidate_copies(candidates(spark, rows)).collect()}
+    assert len({(i, i + 1) for i in range(1, 80, 2)} & got) >= 39
+
+
+def test_classes_carry_members_and_links(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
+    rows = [{"title": words}, {"title": words.upper()}, {"title": words + " pi"}, {"title": "other words entirely"}, {"title": None}, {"title": words, "partition": None}]
+    got = sorted(tuple(r) for r in nearcopies.candidate_classes(clashing(candidates(spark, rows))).collect())
+    assert got == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0)]
+    assert nearcopies.candidate_classes(candidates(spark, rows).where("false")).count() == 0
+
+
 def test_large_classes_of_copies_come_out_as_stars(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "SHOWN", 3)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
@@ -195,7 +217,8 @@ def test_fingerprint_bits_estimate_jaccard():
     a, b = " ".join(sorted(words[:22])), " ".join(sorted(words[2:24]))
     signs = nearcopies.fingerprints([a, b, b, "q" * 50_000 + " z"])
     apart = int(np.bitwise_count(signs[0] ^ signs[1]).sum()) / (nearcopies.TRIES * nearcopies.BITS)
-    assert abs(apart - (1 - nearcopies.jaccard(nearcopies.features(a), nearcopies.features(b))) / 2) < 0.09 and (signs[1] == signs[2]).all()
+    grams = [{t for w in x.split() for t in (f" {w} "[i : i + 3] for i in range(len(w)))} for x in (a, b)]
+    assert abs(apart - (1 - nearcopies.jaccard(*map(frozenset, grams))) / 2) < 0.09 and (signs[1] == signs[2]).all()
 
 
 # ------------------------------------------------------------------ 5
