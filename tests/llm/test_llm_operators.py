@@ -383,6 +383,19 @@ def test_mixing_meets_shares(spark):
     assert mixing.mixed(df.where("false"), targets).count() == mixing.mixed(df, targets.where("false")).count() == 0
 
 
+def test_more_shards_than_the_tree_has_leaves(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("aab"), "harbour ladder " * rng.randint(1, 9)) for i in range(2500)]
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 2)], "source string, target_share double, max_repeats int")
+    flat = mixing.mixed(documents(spark, rows), targets, shard_tokens=1000).toPandas()
+    deep = mixing.mixed(documents(spark, rows), targets, shard_tokens=1000, tree_shards=4).toPandas()
+    size = deep.groupby("shard").n_tokens.sum()
+    assert len(size) >= 24 and size.max() < 2500 and abs(deep.n_tokens.sum() - flat.n_tokens.sum()) < 100
+    assert deep.groupby(["doc_id", "repeat_no"]).size().max() == 1
+    share = deep[deep.source == "a"].groupby("shard").n_tokens.sum() / size
+    assert abs(share.mean() - 0.6) < 0.05 and share.std() < 0.2
+
+
 def test_splitting_tree_is_exact_and_fair():
     quotas = np.array([1000, 10, 3, 0])
     drawn = mixing.split_tree(quotas, 7, np.random.default_rng(0))
