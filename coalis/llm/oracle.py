@@ -2,9 +2,14 @@
 
 from coalis.plans.hot import ISSUE as _ISSUE
 
-from .survivorship import STAND_INS
-
-_WORDS = ", ".join(f"'{w}'" for w in STAND_INS)
+# Stated here on its own, so that the SQL does not follow the operator's default.
+_WORDS = """
+'na', 'nan', 'nil', 'none', 'null', 'nul', 'void', 'missing', 'absent', 'empty', 'blank', 'unknown', 'unspecified', 'undefined', 'undetermined', 'unavailable', 'unset',
+'untitled', 'untitled finding', 'untitled issue', 'no title', 'no version', 'no name', 'no value', 'no data', 'title missing', 'version missing', 'missing title', 'missing version',
+'unknown version', 'unknown title', 'version unknown', 'title unknown', 'not available', 'not applicable', 'not specified', 'not set', 'not known', 'not given', 'not provided',
+'not defined', 'not found', 'n a', 't b d', 'tbd', 'tba', 'tbc', 'todo', 'fixme', 'to be filled in', 'to be determined', 'to be defined', 'to be done', 'to be announced',
+'placeholder', 'dummy', 'default', 'title', 'version', 'x y z'
+"""
 
 
 def _usable(c: str) -> str:

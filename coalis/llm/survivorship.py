@@ -4,7 +4,11 @@ Input: ``groups`` (group id, member keys), ``records`` (key, id and fields), ``s
 (source, trust rank).  Each attribute's winner is the maximum of
 ``struct(usable, -rank, timestamp, -id)``; a maximum is associative, so it is taken per
 key before anything is joined and again per group after.  A key or a group that holds a
-third of all rows is therefore reduced on the map side and never gathered.
+third of all rows is therefore reduced on the map side and never gathered.  The winners of a
+key that very many groups list reach them by broadcast (see skew.py), all others by shuffle.
+
+What stands in for a missing value is a parameter, ``stand_ins``: words as :data:`STAND_INS` has
+them, which is the default.
 
 Defined cases: null and blank values, and values that only stand in for a missing one
 (``N/A``, ``{{title}}``, ``--``), are unusable; an unlisted or null source ranks last; a
@@ -19,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coalis.functions.text import trim_unicode
-from coalis.sources.scratch import small_or_shuffled
+from coalis.operators.skew import attach
+from coalis.sources.scratch import Scratch, small_or_shuffled
 
-#: Words (after case, punctuation and spacing are removed) that stand for a missing value.
+#: A key with at least this part of all listings is attached by broadcast.
+HOT_PARTS = 2000
+#: Words (after case, punctuation and spacing are removed) that stand for a missing value by default.
 STAND_INS = (
     "na", "nan", "nil", "none", "null", "nul", "void", "missing", "absent", "empty", "blank",
     "unknown", "unspecified", "undefined", "undetermined", "unavailable", "unset", "untitled",
@@ -35,11 +42,11 @@ STAND_INS = (
 _TEMPLATE = r"^\s*(\$?\{+[^{}]*\}+|%+\w+%+|<+[^<>]*>+|\[+\s*(title|version|name|value|text)\s*\]+)\s*$"
 
 
-def usable(value: Column) -> Column:
+def usable(value: Column, stand_ins: tuple[str, ...] = STAND_INS) -> Column:
     """True unless the value is null, blank, bare punctuation or a stand-in for a missing one."""
     words = F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", " "))
     return F.coalesce(
-        (words != "") & ~words.isin(*STAND_INS) & ~words.rlike("^x{2,}$") & ~F.lower(value).rlike(_TEMPLATE),
+        (words != "") & ~words.isin(*stand_ins) & ~words.rlike("^x{2,}$") & ~F.lower(value).rlike(_TEMPLATE),
         F.lit(False),
     )
 
@@ -61,6 +68,7 @@ def survivors(
     source: Column | None = None,
     at: str = "seen_at",
     record_id: str = "cand_id",
+    stand_ins: tuple[str, ...] = STAND_INS,
 ) -> DataFrame:
     """(group id, field_name, record id): the record that supplies each field of each group of two or more members.
 
@@ -78,7 +86,7 @@ def survivors(
         source_key(source).alias("_src"),
         F.col(at).alias("_at"),
         F.col(record_id).alias("_id"),
-        *[(F.lit(True) if v is None else usable(v)).alias(f"_u_{f}") for f, v in fields.items()],
+        *[(F.lit(True) if v is None else usable(v, stand_ins)).alias(f"_u_{f}") for f, v in fields.items()],
     ).where("_key is not null")
     ranked = values.join(small_or_shuffled(ranks), "_src", "left")
     best = [
@@ -91,7 +99,10 @@ def survivors(
         .where(F.size("_m") > 1)
         .select("_g", F.explode("_m").alias("_key"))
     )
-    per_group = listed.join(per_key, "_key").groupBy("_g").agg(*[F.max(f).alias(f) for f in fields])
+    scratch = Scratch(records.sparkSession, "survivorship")
+    known = scratch.write(per_key.join(listed.groupBy("_key").agg(F.count("*").alias("n")), "_key"), "known")
+    limit = max((known.agg(F.sum("n")).first()[0] or 0) // HOT_PARTS, 1000)
+    per_group = attach(listed, ["_key"], known, limit).groupBy("_g").agg(*[F.max(f).alias(f) for f in fields])
     rows = F.array(*[F.struct(F.lit(f).alias("field_name"), (-F.col(f)["i"]).alias(record_id)) for f in fields])
     return (
         per_group.select("_g", F.explode(rows).alias("_r"))

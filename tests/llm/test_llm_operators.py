@@ -57,6 +57,17 @@ def test_survivors(spark):
     assert (record[1]["title"], record[1]["affected_version"], record[1]["source"]) == ("real", "1.0", "good-scan") and record[3]["affected_version"] is None
 
 
+def test_a_key_that_most_groups_list_is_attached_apart(spark, monkeypatch):
+    monkeypatch.setattr(survivorship, "attach", lambda rows, on, table, limit, _f=survivorship.attach: _f(rows, on, table, 5))
+    rows = [{"cand_id": i, "occurrence_key": K(c), "origin": ("s", None, "1"), "title": f"t{c}"} for i, c in enumerate("abcdef", 1)]
+    groups = spark.createDataFrame([(i, [K("a"), K("bcdef"[i % 5])]) for i in range(20)], "cluster_id long, members array<string>")
+    sources = spark.createDataFrame([("s", 1)], "source string, trust_rank int")
+    got = survivorship.survivors(groups, candidates(spark, rows), sources, {"title": F.col("title")}).collect()
+    assert len(got) == 20 and {r[2] for r in got} == {1}
+    none = survivorship.survivors(groups, candidates(spark, rows), sources, {"title": F.col("title")}, stand_ins=("ta",)).collect()
+    assert {r[2] for r in none} == {2, 3, 4, 5, 6}
+
+
 @pytest.mark.parametrize("text", ["", " ", " ", "--", "?", "...", "N.A.", "#N/A", "(none)", "<null>", "T.B.D.", "UNKNOWN ", "[title]", "${version}", "%VERSION%", "x.y.z", "to be filled in", "xxx", None])
 def test_stand_ins(spark, text):
     assert spark.createDataFrame([(text,)], "x string").select(survivorship.usable(F.col("x"))).first()[0] is False
