@@ -57,8 +57,9 @@ def compare(joined: DataFrame, config: Config = Config()) -> DataFrame:
     partition, kind = _signal("partition", "exact", MAX_SCORE), _signal("kind", "exact", MAX_SCORE)
     exact_subject = overlap("canonicals")
     is_ = lambda x: F.col("rule") == x
-    early = ruled.where(~is_("evidence")).select(
-        *keys,
+    # each pair is joined and evaluated once; texts of pairs a rule settles do not reach the similarity
+    asked = lambda c: F.when(is_("evidence"), c)
+    settled = F.struct(
         F.when(is_("same") | is_("exact"), "duplicate").otherwise("not_comparable").alias("decision"),
         F.when(is_("same") | is_("exact"), MAX_SCORE).cast("int").alias("score"),
         F.when(is_("same"), "same_occurrence").when(is_("exact"), "exact_correlation").otherwise("blocked").alias("method"),
@@ -75,9 +76,10 @@ def compare(joined: DataFrame, config: Config = Config()) -> DataFrame:
     coordinate = overlap("coordinates")
     comparable = overlap("subject_kinds")
     version = F.when(~some(l, "versions") | ~some(r, "versions"), "missing").when(overlap("versions"), "exact").otherwise("different")
-    late = ruled.where(is_("evidence")).select(
+    late = ruled.select(
         *keys,
-        pair_similarities(l["names"], r["names"], l["title"], r["title"], l["location"], r["location"]).alias("s"),
+        F.when(~is_("evidence"), settled).alias("settled"),
+        pair_similarities(*[asked(x[c]) for c in ("names", "title", "location") for x in (l, r)]).alias("s"),
         shared.alias("shared"),
         (both_issues & ~shared).alias("issue_conflict"),
         exact_subject.alias("exact_subject"),
@@ -114,9 +116,7 @@ def compare(joined: DataFrame, config: Config = Config()) -> DataFrame:
         .when(c("cross_kind"), "incomparable")
         .otherwise("missing")
     )
-    scored = late.select(
-        "left",
-        "right",
+    evidence = F.struct(
         F.when(conflict, "distinct")
         .when(eligible & (score >= config.duplicate_threshold), "duplicate")
         .when(score >= config.review_threshold, "review")
@@ -135,4 +135,5 @@ def compare(joined: DataFrame, config: Config = Config()) -> DataFrame:
             fuzzy("location", location, c("has_location")),
         ).alias("signals"),
     )
-    return early.unionByName(scored)
+    result = late.select("left", "right", F.when(c("settled").isNotNull(), c("settled")).otherwise(evidence).alias("c"))
+    return result.select("left", "right", "c.decision", "c.score", "c.method", "c.signals")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coalis.sources.scratch import Scratch
+
 
 def attach(rows: DataFrame, on: list[str], looked_up: DataFrame, limit: int, weight: str = "n") -> DataFrame:
     """``rows`` joined with the one ``looked_up`` row of their ``on`` columns.
@@ -21,3 +23,19 @@ def attach(rows: DataFrame, on: list[str], looked_up: DataFrame, limit: int, wei
     light = looked_up.where(F.col(weight) < limit).drop(weight)
     usual = rows.join(heavy.select(*on), on, "left_anti").join(light, on)
     return usual.unionByName(rows.join(heavy, on).select(*usual.columns))
+
+
+def ranked(rows: DataFrame, group: list[str], order: str, scratch: Scratch, name: str, *, heavy: bool) -> DataFrame:
+    """``rows`` with ``rank``: the place of each in its group by ``order``, from 1.
+
+    ``heavy`` groups may hold any part of all rows: the rows are range-sorted, numbered inside of
+    each range, and the ranges before are added, so no task holds a group.
+    """
+    if not heavy:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
+    placed = scratch.write(rows.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id()), name)
+    counts = placed.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order))
+    return placed.withColumn("rank", inside).join(offsets, [*group, "_range"]).withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).drop("_range", "_before")
