@@ -415,6 +415,13 @@ _BAD_JSON = (
     ('{"origin":{"source":"s","native_id":"1"},"title":"t"}', "missing field"),
     ('{"origin":{"source":"s","native_id":"1"},"partition":"p","kind":"bug","title":"t"}', "unknown kind"),
     ("[1, 2]", "malformed"),
+    ('{"origin":{"source":"s","native_id":"1"},"partition":"p","title":"t","title":"u"}', "malformed"),
+    ('{"origin":{"source":"s","native_id":"1"},"partition":"p","issue_ids":"x"}', "wrong type"),
+    ('{"origin":{"source":"s","native_id":"1"},"partition":"p","issue_ids":null,"title":"t"}', "wrong type"),
+    ('{"origin":{"source":"s","native_id":"1"},"partition":"p","subject_names":["a",null]}', "wrong type"),
+    ('{"origin":{"source":"s","native_id":1},"partition":"p","title":"t"}', "wrong type"),
+    ('{"origin":{"source":"s","native_id":"1"},"partition":"p","title":7}', "wrong type"),
+    ('{"origin":{"source":"s","native_id":"1","subtype":null},"partition":"p","title":null,"issue_ids":[],"location":"l"}', None),
     ('{"origin":{"source":"s","native_id":"1"},"partition":"p","kind":{"other":"x"},"title":"t"}', None),
 )
 
@@ -427,3 +434,46 @@ _BAD_JSON = (
 def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*[F.lit(j) for j, _ in _BAD_JSON]), (F.col("p_partkey") % len(_BAD_JSON)).cast("int")).alias("json"))
     return wire.read_candidates(lines).select("p_partkey", "wire_error")
+
+
+# A document's shape, its text with < and > for its two keys, and the error it must show.
+_RESULTS = (
+    ("comparison", '{"left":"<","right":">","decision":"review","score":7000,"method":"fuzzy","signals":[{"field":"partition","kind":"exact","score":10000}]}', None),
+    ("comparison", '{"left":">","right":"<","decision":"review","score":7000,"method":"fuzzy","signals":[{"field":"partition","kind":"exact","score":10000}]}', "order"),
+    ("comparison", '{"left":"<","right":">","decision":"distinct","score":0,"method":"blocked","signals":[]}', "signals"),
+    ("comparison", '{"left":"<","right":">","decision":"distinct","score":"0","method":"blocked","signals":[{"field":"issue","kind":"different","score":null}]}', "shape"),
+    ("comparison", '{"left":"<","right":">","decision":"distinct","score":5,"method":"blocked","signals":[{"field":"issue","kind":"different","score":null}]}', "state"),
+    ("comparison", '{"left":"<","right":">","decision":"distinct","score":0,"method":"blocked","signals":[{"field":"issue","kind":"different","score":3}]}', "signal"),
+    ("warning", '{"OversizedBlock":{"kind":"issue","size":9,"limit":8}}', None),
+    ("warning", '{"OversizedBlock":{"kind":"issue","size":8,"limit":8}}', "warning"),
+    ("warning", '{"OversizedBlock":{"kind":"title","size":9,"limit":8}}', "name"),
+    ("stats", '{"candidate_count":3,"candidate_pair_count":2,"comparison_count":3,"exact_merge_count":1,"fuzzy_merge_count":0,"cluster_count":2}', None),
+    ("stats", '{"candidate_count":3,"candidate_pair_count":2,"comparison_count":3,"exact_merge_count":1,"fuzzy_merge_count":1,"cluster_count":2}', "stats"),
+    ("cluster", '{"members":["<",">"]}', None),
+    ("cluster", '{"members":[">","<"]}', "members"),
+    ("cluster", '{"members":["<"],"size":1}', "shape"),
+    ("result", '{"clusters":[{"members":["<"]},{"members":[">"]}],"review_pairs":[{"left":"<","right":">","decision":"review","score":7000,"method":"fuzzy","signals":[{"field":"partition","kind":"exact","score":10000}]}],"warnings":[],"stats":{"candidate_count":2,"candidate_pair_count":1,"comparison_count":1,"exact_merge_count":0,"fuzzy_merge_count":0,"cluster_count":2}}', None),
+    ("result", '{"clusters":[{"members":["<",">"]}],"review_pairs":[{"left":"<","right":">","decision":"review","score":7000,"method":"fuzzy","signals":[{"field":"partition","kind":"exact","score":10000}]}],"warnings":[],"stats":{"candidate_count":2,"candidate_pair_count":1,"comparison_count":1,"exact_merge_count":1,"fuzzy_merge_count":0,"cluster_count":1}}', "review pairs"),
+    ("result", '{"clusters":[{"members":[">"]},{"members":["<"]}],"review_pairs":[],"warnings":[],"stats":{"candidate_count":2,"candidate_pair_count":1,"comparison_count":1,"exact_merge_count":0,"fuzzy_merge_count":0,"cluster_count":2}}', "cluster order"),
+    ("result", '{"clusters":[{"members":["<",">"]}],"review_pairs":[],"warnings":[],"stats":{"candidate_count":3,"candidate_pair_count":1,"comparison_count":1,"exact_merge_count":2,"fuzzy_merge_count":0,"cluster_count":1}}', "counts"),
+)
+
+
+@query(
+    "with t(n, shape, e) as (values "
+    + ", ".join(f"({i}, '{shape}', {'null' if e is None else repr(e)})" for i, (shape, _, e) in enumerate(_RESULTS))
+    + f") select p_partkey, shape, e as wire_error from part join t on n = p_partkey % {len(_RESULTS)}"
+)
+def result_json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results of every shape, sound and broken, read back strictly."""
+    digits = lambda c: F.concat(F.lit("occ:v1:"), F.lpad(F.lower(F.hex(c)), 64, "0"))
+    which = (F.col("p_partkey") % len(_RESULTS)).cast("int")
+    json = F.get(F.array(*[F.lit(j) for _, j, _ in _RESULTS]), which)
+    json = F.replace(F.replace(json, F.lit("<"), digits(2 * F.col("p_partkey"))), F.lit(">"), digits(2 * F.col("p_partkey") + 1))
+    shape = F.get(F.array(*[F.lit(s) for s, _, _ in _RESULTS]), which)
+    lines = table(spark, sf_dir, "part").select("p_partkey", shape.alias("shape"), json.alias("json"))
+    out = None
+    for name in wire.SHAPES:
+        read = wire.read_results(lines.where(F.col("shape") == name), name).select("p_partkey", "shape", "wire_error")
+        out = read if out is None else out.unionByName(read)
+    return out
