@@ -69,6 +69,32 @@ def part_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bridge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four findings per part: a and d share their exact key, b and c are fuzzy duplicates of both but not of each other.
+
+    The title says which of b and c is nearer (b for even parts), and b comes from the source of a
+    for every third part, so complete links leave one of them out.
+    """
+    one = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.lit(x) for x in "abcd"])).alias("w"))
+    third, even = F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 2 == 0
+    w = F.col("w")
+    return C.with_columns(
+        one,
+        {
+            "source": F.when((w == "b") & third, "scanner-a").otherwise(F.concat(F.lit("scanner-"), w)),
+            "native_id": F.concat_ws("-", F.col("p_partkey"), w),
+            "partition": F.lit("shelf"),
+            "issues": F.array(F.concat(F.lit("CVE-1-"), F.col("p_partkey"))),
+            "purls": F.array(F.concat(F.lit("pkg:generic/lamp-"), F.col("p_partkey"), F.lit("@1"), F.when(w == "b", "?arch=x").when(w == "c", "?arch=y").otherwise(""))),
+            "title": F.when((w == "b") & ~even | (w == "c") & even, "oooo").otherwise("eeee"),
+        },
+    )
+
+
+def bridges(spark, sf_dir):
+    return _prepared(bridge_findings(spark, sf_dir))
+
+
 def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted candidates, one row per occurrence key (the smallest cand_id), texts that cannot be built left out."""
     c = table(spark, sf_dir, "candidates")

@@ -126,6 +126,46 @@ def cpe_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("p_partkey", "s.canonical")
 
 
+_BAD_CPES = (
+    ("cpe:2.3:q:mill:lamp:{}:*:*:*:*:*:*:*", "InvalidCpePart", None),
+    ("cpe:2.3:a:mill:lamp:4*{}:*:*:*:*:*:*:*", "InvalidCpeValue", 3),
+    ("cpe:2.3:a:mill:lamp:{}:*:*:german:*:*:*:*", "InvalidCpeValue", 6),
+    ("cpe:2.3:a:mill:lamp:{}", "CpeComponentCount", None),
+    ("cpe:2.3:a:mi#ll:lamp:{}:*:*:*:*:*:*:*", "InvalidCpeValue", 1),
+    ("cpe:/a:mill:lamp:{}:u2:e3:de:more", "LegacyCpeComponentCount", None),
+    ("cpe:2.3:a:mill:lamp:{}:*:*:de-at:*:*:*:*", None, None),
+    ("cpe:2.3:h:mill:lamp:{}??:*:*:*:*:*:*:*", None, None),
+)
+
+
+@query(
+    "with t(n, code, component) as (values "
+    + ", ".join(f"({i}, {'null' if code is None else repr(code)}, {'null' if at is None else at})" for i, (_, code, at) in enumerate(_BAD_CPES))
+    + f") select p_partkey, code, component::int as component from part join t on n = p_partkey % {len(_BAD_CPES)}"
+)
+def cpe_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, wildcards, escapes, languages and component counts that are wrong, and two that are right."""
+    raw = F.replace(F.get(F.array(*[F.lit(c) for c, _, _ in _BAD_CPES]), (F.col("p_partkey") % len(_BAD_CPES)).cast("int")), F.lit("{}"), F.col("p_partkey").cast("string"))
+    s = table(spark, sf_dir, "part").select("p_partkey", F.get(parse_subjects(F.array(raw)), F.lit(0)).alias("s"))
+    return s.select("p_partkey", F.col("s.error_code").alias("code"), F.col("s.error_component").alias("component"))
+
+
+_CPE_DETAILS = (
+    ("4:*:*:*:*:*:*:*", "4:*:*:*:*:*:*:*", True), ("4:*:*:*:*:*:*:*", "5:*:*:*:*:*:*:*", False), ("*:*:*:*:*:*:*:*", "5:*:*:*:*:*:*:*", True),
+    ("4:u1:*:*:*:*:*:*", "4:u2:*:*:*:*:*:*", False), ("4:u1:*:*:*:*:*:*", "4:*:*:de:*:*:*:*", True), ("4:*:*:*:*:*:x:*", "4:*:*:*:*:*:y:*", False), ("4:-:*:*:*:*:*:*", "4:u1:*:*:*:*:*:*", False),
+)
+
+
+@query("with t(n, compatible) as (values " + ", ".join(f"({i}, {str(c).lower()})" for i, (_, _, c) in enumerate(_CPE_DETAILS)) + f") select p_partkey, compatible from part join t on n = p_partkey % {len(_CPE_DETAILS)}")
+def cpe_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two CPE names of one product can be one: any concrete component that differs speaks against it."""
+    which = (F.col("p_partkey") % len(_CPE_DETAILS)).cast("int")
+    name = F.concat(F.lit("cpe:2.3:a:mill:lamp"), F.col("p_partkey"), F.lit(":"))
+    pair = F.array(*[F.concat(name, F.get(F.array(*[F.lit(d[i]) for d in _CPE_DETAILS]), which)) for i in (0, 1)])
+    s = table(spark, sf_dir, "part").select("p_partkey", parse_subjects(pair).alias("s"))
+    return s.select("p_partkey", details_compatible(F.get("s", F.lit(0)), F.get("s", F.lit(1))).alias("compatible"))
+
+
 _DETAILS = (
     ("@1", "@1", True), ("@1", "@2", False), ("", "@2", True), ("@1?arch=x", "@1?arch=y", False), ("@1?arch=x", "@1?os=y", True),
     ("?arch=x", "", True), ("#a", "#b", False), ("#a", "", True), ("-other@1", "@1", False),
@@ -331,17 +371,28 @@ def exact_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.exact_components(X.shipments(spark, sf_dir))
 
 
-@query()
+# the r-th finding of a source joins the r-th cluster of its exact key
+_RANKED = f"""{_SHIP}, r as (select *, row_number() over (partition by y, p, v, source order by k) as r from f),
+m as (select *, min(k) over (partition by y, p, v, r) as cluster_key from r)"""
+
+
+@query(f"with {_RANKED} select k as key, cluster_key from m")
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster(X.shipments(spark, sf_dir)).members
 
 
-@query()
+@query(
+    f"""with {_RANKED}, q as (select count(*) as n from f a join f b on a.y = b.y and a.p = b.p and a.k < b.k)
+select count(*) as candidate_count, any_value(q.n) as candidate_pair_count, any_value(q.n) as comparison_count, count(*) - count(distinct cluster_key) as exact_merge_count,
+0::bigint as fuzzy_merge_count, count(distinct cluster_key) as cluster_count from m, q"""
+)
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster(X.shipments(spark, sf_dir)).stats
 
 
-@query()
+@query(
+    f"with {_SHIP} select a.k as left_key, b.k as right_key, 8800::int as score, 'fuzzy' as method from f a join f b on a.y = b.y and a.p = b.p and a.k < b.k and a.v <> b.v and a.source <> b.source"
+)
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster(X.shipments(spark, sf_dir)).review_pairs.withColumnRenamed("left", "left_key").withColumnRenamed("right", "right_key")
 
@@ -362,6 +413,73 @@ def cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster(C.prepared(C.with_keys(good))).members
 
 
+_NEAR = "(p_partkey % 2 = 0 and p_partkey % 3 <> 0)"  # parts where b, not c, joins a and d
+
+
+@query(f"select p_partkey || '-' || w as key, p_partkey || '-' || case when w = 'b' and not {_NEAR} then 'b' when w = 'c' and {_NEAR} then 'c' else 'a' end as cluster_key from part, (select unnest(['a', 'b', 'c', 'd']) as w)")
+def fuzzy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete links keep a bridge apart: two fuzzy duplicates of one pair that conflict with each other, or share its source."""
+    return M.cluster(X.bridges(spark, sf_dir)).members
+
+
+@query("select 4 * count(*) as candidate_count, 6 * count(*) as candidate_pair_count, 6 * count(*) as comparison_count, count(*) as exact_merge_count, count(*) as fuzzy_merge_count, 2 * count(*) as cluster_count from part")
+def fuzzy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.cluster(X.bridges(spark, sf_dir)).stats
+
+
+@query("select p_partkey || '-b' as left_key, p_partkey || '-c' as right_key, 9000::int as score, 'fuzzy' as method from part")
+def fuzzy_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conflicting pair is left to review, across two clusters."""
+    return M.cluster(X.bridges(spark, sf_dir)).review_pairs.withColumnRenamed("left", "left_key").withColumnRenamed("right", "right_key")
+
+
+@query(
+    """with w as (select unnest(['a', 'b', 'c', 'd']) as w), q as (select p_partkey as p, l.w as l, r.w as r from part, w l, w r where l.w < r.w),
+o as (select *, case when l = 'a' and r = 'b' and p % 3 = 0 then 'source' when l = 'a' and r = 'd' then 'exact' when l = 'b' and r = 'c' then 'conflict' else 'fuzzy' end as how,
+  case when l in ('b', 'c') then l else r end as other from q)
+select p || '-' || l as left_key, p || '-' || r as right_key,
+case how when 'source' then 'not_comparable' when 'conflict' then 'review' else 'duplicate' end as decision,
+case how when 'source' then null when 'exact' then 10000 when 'conflict' then 9000 else case when (other = 'b') = (p % 2 = 0) then 9300 else 9000 end end::int as score,
+case how when 'source' then 'blocked' when 'exact' then 'exact_correlation' else 'fuzzy' end as method from o"""
+)
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every blocked pair of the bridges: exact, fuzzy, of one source, and in conflict."""
+    prepared = X.bridges(spark, sf_dir)
+    out = compare(join_pairs(B.block_pairs(B.block_entries(prepared)), prepared))
+    return out.select(F.col("left").alias("left_key"), F.col("right").alias("right_key"), "decision", "score", "method")
+
+
+@query("select p_partkey::varchar as key, 'duplicate' as decision, 10000::int as score, 'same_occurrence' as method, 'source' as field from part")
+def compare_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding compared with itself."""
+    prepared = X.parts(spark, sf_dir)
+    out = compare(join_pairs(prepared.select(F.col("key").alias("left"), F.col("key").alias("right")), prepared))
+    return out.select(F.col("left").alias("key"), "decision", "score", "method", F.element_at("signals", -1)["field"].alias("field"))
+
+
+@query("select p_partkey as part, 'distinct' as decision, 0::int as score, 'blocked' as method, 'different' as subject from part where p_partkey + 1 in (select p_partkey from part)")
+def compare_subject_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring parts with one issue and different packages."""
+    raw = C.with_columns(
+        table(spark, sf_dir, "part"),
+        {"source": F.concat(F.lit("s"), F.col("p_partkey") % 2), "native_id": F.col("p_partkey").cast("string"), "partition": F.lit("q"), "issues": F.array(F.lit("ADV-1")), "purls": F.array(F.concat(F.lit("pkg:generic/lamp-"), F.col("p_partkey")))},
+    )
+    prepared = X._prepared(raw)
+    pairs = prepared.select(F.col("key").alias("left"), (F.col("key").cast("long") + 1).cast("string").alias("right"))
+    out = compare(join_pairs(pairs, prepared)).withColumn("part", F.least(F.col("left").cast("long"), F.col("right").cast("long")))
+    return out.select("part", "decision", "score", "method", F.element_at(F.filter("signals", lambda s: s["field"] == "subject"), 1)["kind"].alias("subject"))
+
+
+@query(f"with {_EVENTS} select partition, kind, issue, count(*) as n from e group by all having count(*) > 1")
+def issue_only_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact keys of issues alone, for findings without a subject, where the option allows them."""
+    good = C.with_keys(C.accepted(C.build(X.event_findings(spark, sf_dir))), Config(issue_only_exact=True), F.col("origin.native_id"))
+    kind = F.coalesce(F.col("kind.value"), F.create_map(*[F.lit(x) for pair in (("vulnerability", "error"), ("misconfiguration", "view"), ("secret", "purchase"), ("code", "click")) for x in pair])[F.col("kind.tag")])
+    each = good.select(F.explode("correlation_keys").alias("key"), "partition", kind.alias("kind"), F.get("issue_ids", F.lit(0)).alias("issue"))
+    grouped = each.groupBy("key").agg(F.min("partition").alias("partition"), F.min("kind").alias("kind"), F.min("issue").alias("issue"), F.count("*").alias("n"), F.count_distinct("partition", "kind", "issue").alias("mixed"))
+    return grouped.where("n > 1 and mixed = 1").select("partition", "kind", "issue", "n")
+
+
 # ---------------------------------------------------------------- stored results and JSON
 
 
