@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coalis.sources.scratch import Scratch
@@ -39,3 +39,15 @@ def ranked(rows: DataFrame, group: list[str], order: str, scratch: Scratch, name
     offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order))
     return placed.withColumn("rank", inside).join(offsets, [*group, "_range"]).withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).drop("_range", "_before")
+
+
+def numbered(rows: DataFrame, order: list[Column | str], name: str, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``name``: their place in the order of all rows, from 1, without a task that holds them all."""
+    keys = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys, strict=True)])
+    placed = scratch.write(keyed.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), f"numbered-{name}")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    out = placed.withColumn(name, inside).join(offsets, "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("int"))
+    return out.select(*rows.columns, name)

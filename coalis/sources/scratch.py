@@ -1,7 +1,7 @@
 """Written intermediate tables in the folder all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only when it is unset (tests,
-a laptop) is a local temporary folder used.  A written table survives the loss of any
+``spark.checkpoint.dir`` names that folder on a cluster, where a session without it is an error.
+Only in local mode, where one machine runs everything, is a temporary folder used instead.  A written table survives the loss of any
 executor and cuts the lineage of iterative plans.
 """
 
@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="coalis-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

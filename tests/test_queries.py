@@ -3,6 +3,7 @@
 import glob
 import os
 import re
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -63,6 +64,20 @@ def test_core_does_not_import_llm():
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", source.read_text(), re.M), source
 
 
+def test_the_rest_works_without_the_llm_folders(tmp_path):
+    for name in ("coalis", "tests", "__spark_entry__.py", "bench.py", "key_contexts.json"):
+        source = ROOT / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif source.is_file():
+            shutil.copy(source, tmp_path / name)
+    assert not (tmp_path / "coalis" / "llm").exists()
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'p4_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=120).returncode == 0
+    listed = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path, timeout=300, capture_output=True, text=True)
+    assert listed.returncode == 0, listed.stdout[-2000:]
+
+
 def test_streams(spark, tmp_path):
     from pyspark.sql import functions as F
 
