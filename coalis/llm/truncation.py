@@ -230,8 +230,9 @@ def endings_of(documents: DataFrame) -> DataFrame:
     listed = F.when(F.left("body", F.lit(1)).rlike(r"[-•*–(\d]"), F.regexp_replace("body", _LIST_MARK, "")).otherwise(F.col("body"))
     t = t.select("*", core.alias("core"), F.split(listed, _SENTENCE).alias("parts"))
     t = t.select("*", F.right("core", F.lit(1)).isin(".", "!", "?", "…").alias("finished"), F.rtrim(F.col("core"), F.lit("…." + EDGE)).alias("stem"))
-    quotes = F.regexp_replace("body", "[^“«„”»]+", "")
-    last_quote = F.right(quotes, F.lit(1))
+    # the last quote: an opening one, or “ where it does not close a „
+    last_quote = F.regexp_extract(F.reverse("body"), "[“«„”»]", 0)
+    openers = F.when(F.col("body").contains("„"), "«„").otherwise("«„“")
     inner = lambda mark: F.size(F.filter("parts", lambda p, i: F.endswith(p, F.lit(mark)) & (i < F.size("parts") - 1)))
     capital = _tail(F.col("stem")).rlike(r"(?<![\p{L}\p{N}\p{M}’'-])\p{Lu}[\p{L}\p{N}\p{M}’'-]*$")
     return t.select(
@@ -253,7 +254,7 @@ def endings_of(documents: DataFrame) -> DataFrame:
             | F.right("body", F.lit(13)).rlike(r"[<\[(][^<>()\[\]]{0,12}$")
         ).alias("hanging"),
         capital.alias("capital"),
-        (F.col("body").rlike("[“«„]") & (last_quote.isin("«", "„") | ((last_quote == "“") & ~quotes.contains("„")))).alias("quoted"),
+        F.when(F.col("body").rlike("[“«„]"), F.contains(openers, last_quote)).otherwise(False).alias("quoted"),
         F.filter(F.transform("parts", _words), lambda w: F.size(w) > 0).alias("sentences"),
         (F.size("parts") - 1).alias("inner_ends"),
         F.when(F.col("body").contains("…"), inner("…") - F.regexp_count("body", F.lit(rf"…\s*{_CLOSE}+\s"))).otherwise(0).alias("inner_ellipsis"),
