@@ -51,7 +51,7 @@ from .nearcopies import _verifier, bag
 #: Entries of a page, and accepted neighbours looked at on either side of a new record.
 PAGE, WINDOW = 64, 10
 #: Ranges a run can have: their first keys are all the driver and the tasks hold of the keys.
-MAX_RANGES = 16384
+MAX_RANGES = 1 << 16
 #: Between the parts of a sort key; sorts before everything a part may hold.
 _SEP = "\u0001"
 
@@ -84,19 +84,19 @@ def _said() -> Column:
 
 
 def package_keys(records: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., key, bag): one row per record, issue and package."""
+    """(keep..., key): one row per record, issue and package."""
     each = _coded(records, *keep, _said()).where("bag <> ''")
     key = _joined(F.col("block"), F.col("issue"), F.col("s.coordinate"), F.col("bag"), F.lpad(F.col("cand_id").cast("string"), 20, "0"))
-    return each.select(*keep, key.alias("key"), "bag").distinct()
+    return each.select(*keep, key.alias("key")).distinct()
 
 
 def word_keys(records: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., key, bag): one row per record."""
+    """(keep..., key): one row per record."""
     each = _parted(records).select(*keep, _joined(*_block()).alias("block"), _said()).where("bag <> ''")
-    return each.select(*keep, _joined(F.col("block"), F.col("bag"), F.lpad(F.col("cand_id").cast("string"), 20, "0")).alias("key"), "bag")
+    return each.select(*keep, _joined(F.col("block"), F.col("bag"), F.lpad(F.col("cand_id").cast("string"), 20, "0")).alias("key"))
 
 
-ENTRY = "key string, first_id long, n long, bag string, page long, range_no int"
+ENTRY = "key string, first_id long, n long, page long, range_no int"
 
 
 class SortedRuns:
@@ -155,7 +155,7 @@ class SortedRuns:
     def _store(self, cut: DataFrame, name: str) -> None:
         # the row's place in its sorted task gives its page
         page = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / PAGE)
-        paged = cut.sortWithinPartitions("range_no", "key").select("key", "first_id", "n", "bag", page.alias("page"), "range_no")
+        paged = cut.sortWithinPartitions("range_no", "key").select("key", "first_id", "n", page.alias("page"), "range_no")
         paged.write.mode("overwrite").partitionBy("range_no").option("compression", "zstd").parquet(f"{self.folder}/{name}")
         index = self.read(name).groupBy("range_no", "page").agg(F.min("key").alias("key"), F.count("*").alias("held"))
         index.write.mode("overwrite").parquet(f"{self.folder}/{name}-index")
@@ -171,7 +171,7 @@ class SortedRuns:
         return f"run{self.state['made']}"
 
     def load(self, entries: DataFrame, count: int) -> None:
-        """The first run: all of history as (key, first_id, n, bag) entries, ``count`` of them; its ranges hold for all later runs."""
+        """The first run: all of history as (key, first_id, n) entries, ``count`` of them; its ranges hold for all later runs."""
         if not count:
             return
         ranges = min(max(math.ceil(count / self.state["range_entries"]), 1), MAX_RANGES)
@@ -223,7 +223,7 @@ class SortedRuns:
             if ranges is not None and len(ranges) < len(self.state["splits"]):
                 run = run.where(F.col("range_no").isin(ranges))  # whole folders are left out
             run = run.join(small.where(F.col("run_no") == number).select("range_no", "page"), ["range_no", "page"], "left_semi")
-            run = run.select("key", "first_id", "bag", "range_no", F.lit(number).alias("run_no"))
+            run = run.select("key", "first_id", "range_no", F.lit(number).alias("run_no"))
             stored = run if stored is None else stored.unionByName(run)
         return stored
 
@@ -242,17 +242,18 @@ class SortedRuns:
         return seen.select("key", "n", F.array_min(F.array(*ids)).alias("accepted_id")).where("accepted_id is not null")
 
     def windows(self, name: str, window: int = WINDOW) -> DataFrame:
-        """(cand_id, bag, near_id, near_bag): the accepted entries in the window around each head."""
+        """(cand_id, near_id): the accepted entries in the window around each head."""
         runs = len(self.state["runs"])
         if not runs:
-            return self.spark.createDataFrame([], "cand_id long, bag string, near_id long, near_bag string")
-        heads = self.read(name).select("key", "first_id", "bag", "range_no", F.lit(runs).alias("run_no"))
+            return self.read(name).select(F.col("first_id").alias("cand_id"), F.col("first_id").alias("near_id")).where("false")
+        heads = self.read(name).select("key", "first_id", "range_no", F.lit(runs).alias("run_no"))
         merged = self.around(name, 1).unionByName(heads)
-        accepted = F.when(F.col("run_no") < runs, F.struct(F.col("first_id").alias("near_id"), F.col("bag").alias("near_bag")))
+        accepted = F.when(F.col("run_no") < runs, F.col("first_id"))
         order = Window.partitionBy("range_no").orderBy("key")
-        # other heads of the batch take places in the window too
-        both = F.concat(F.collect_list(accepted).over(order.rowsBetween(-2 * window, -1)), F.collect_list(accepted).over(order.rowsBetween(1, 2 * window)))
-        return merged.select(F.col("first_id").alias("cand_id"), "bag", "run_no", both.alias("w")).where(F.col("run_no") == runs).select("cand_id", "bag", F.explode("w").alias("w")).select("cand_id", "bag", "w.*")
+        # other heads of the batch take places in the window too, so it is twice as wide
+        beside = [F.lag(accepted, i).over(order) for i in range(1, 2 * window + 1)] + [F.lead(accepted, i).over(order) for i in range(1, 2 * window + 1)]
+        seen = merged.select(F.col("first_id").alias("cand_id"), "run_no", F.array(*beside).alias("w")).where(F.col("run_no") == runs)
+        return seen.select("cand_id", F.explode(F.array_compact("w")).alias("near_id")).where("cand_id <> near_id")
 
     def add(self, name: str, most: int) -> None:
         """Make a written table of at most ``most`` entries a run, and compact when there are many."""
@@ -266,9 +267,9 @@ class SortedRuns:
             old = self.state["runs"] if whole else late
             merged = None
             for run, _ in old:
-                part = self.read(run).select("key", "first_id", "n", "bag", "range_no")
+                part = self.read(run).select("key", "first_id", "n", "range_no")
                 merged = part if merged is None else merged.unionByName(part)
-            smallest = merged.groupBy("range_no", "key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"), F.first("bag").alias("bag"))
+            smallest = merged.groupBy("range_no", "key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
             self._store(smallest.repartition("range_no"), made := self._new())
             self.state["runs"] = ([] if whole else self.state["runs"][:1]) + [[made, sum(n for _, n in old)]]
         self.save()
@@ -277,15 +278,15 @@ class SortedRuns:
 
 
 def _history(runs: SortedRuns, keys: DataFrame, scratch: Scratch) -> None:
-    entries = keys.groupBy("key").agg(F.min("cand_id").alias("first_id"), F.first("bag").alias("bag")) if "bag" in keys.columns else keys.groupBy("key").agg(F.min("cand_id").alias("first_id"), F.lit(None).cast("string").alias("bag"))
-    entries = scratch.write(entries.select("key", "first_id", F.lit(1).cast("long").alias("n"), "bag"), "history")
+    entries = keys.groupBy("key").agg(F.min("cand_id").alias("first_id"))
+    entries = scratch.write(entries.select("key", "first_id", F.lit(1).cast("long").alias("n")), "history")
     runs.load(entries, entries.count())
     scratch.drop("history")
 
 
 def add_batch(runs: SortedRuns, rows: DataFrame, count: int, scratch: Scratch, label: str) -> DataFrame:
     """(cand_id, accepted_id) of the batch rows (cand_id, key) that repeat an accepted one; the batch then is history."""
-    heads = rows.groupBy("key").agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n"), F.lit(None).cast("string").alias("bag"))
+    heads = rows.groupBy("key").agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n"))
     name = runs.write(heads)
     hits = scratch.write(runs.same_key(name), f"hits{label}")
     matched = attach(rows, ["key"], hits, max(count // 2000, 1000)).groupBy("cand_id").agg(F.min("accepted_id").alias("accepted_id"))
@@ -295,11 +296,10 @@ def add_batch(runs: SortedRuns, rows: DataFrame, count: int, scratch: Scratch, l
     return matched
 
 
-def add_near_batch(runs: SortedRuns, rows: DataFrame, count: int, scratch: Scratch, label: str, threshold: float = 0.8) -> DataFrame:
-    """(cand_id, near_id): verified neighbours of the batch rows (cand_id, key, bag); the batch then is history."""
-    name = runs.write(rows.select("key", F.col("cand_id").alias("first_id"), F.lit(1).cast("long").alias("n"), "bag"))
-    near = runs.windows(name).where("cand_id <> near_id").distinct().where(_verifier(threshold)("bag", "near_bag"))
-    near = scratch.write(near.groupBy("cand_id").agg(F.min("near_id").alias("near_id")), f"near{label}")
+def add_near_batch(runs: SortedRuns, rows: DataFrame, count: int, scratch: Scratch, label: str) -> DataFrame:
+    """(cand_id, near_id): the accepted records in the windows around the batch rows (cand_id, key), yet to be verified; the batch then is history."""
+    name = runs.write(rows.select("key", F.col("cand_id").alias("first_id"), F.lit(1).cast("long").alias("n")))
+    near = scratch.write(runs.windows(name).distinct(), f"near{label}")
     runs.add(name, count)
     return near
 
@@ -330,8 +330,11 @@ def repeated(history: DataFrame, incoming: DataFrame, *, range_entries: int = 1
     return spark.createDataFrame([], "cand_id long, accepted_id long") if found is None else found
 
 
-def nearly_repeated(history: DataFrame, incoming: DataFrame, *, threshold: float = 0.8, range_entries: int = 1 << 18, compact_every: int = 4) -> DataFrame:
-    """(cand_id, near_id): the smallest accepted neighbour that agrees in more than ``threshold`` of the words, batch after batch."""
+def nearly_repeated(history: DataFrame, incoming: DataFrame, *, threshold: float = 0.8, range_entries: int = 1 << 15, compact_every: int = 4) -> DataFrame:
+    """(cand_id, near_id): the smallest accepted neighbour that agrees in more than ``threshold`` of the words, batch after batch.
+
+    A batch's windows give pairs of ids; the words of all pairs are compared at the end, at once.
+    """
     spark = history.sparkSession
     scratch = Scratch(spark, "incremental")
     found = None
@@ -341,10 +344,14 @@ def nearly_repeated(history: DataFrame, incoming: DataFrame, *, threshold: float
         arrived = scratch.write(keys(_batches(incoming), "cand_id", "batch_no"), f"arrived-{kind}")
         per_batch = {r[0]: r[1] for r in arrived.groupBy("batch_no").count().collect()}  # one row per batch
         for batch in sorted(per_batch):
-            rows = arrived.where(F.col("batch_no") == batch).select("cand_id", "key", "bag")
-            near = add_near_batch(runs, rows, per_batch[batch], scratch, f"{kind}{batch}", threshold)
+            rows = arrived.where(F.col("batch_no") == batch).select("cand_id", "key")
+            near = add_near_batch(runs, rows, per_batch[batch], scratch, f"{kind}{batch}")
             found = near if found is None else found.unionByName(near)
         scratch.drop(kind, f"arrived-{kind}")
     if found is None:
         return spark.createDataFrame([], "cand_id long, near_id long")
-    return found.groupBy("cand_id").agg(F.min("near_id").alias("near_id"))
+    pairs = scratch.write(found.distinct(), "pairs")
+    said = _parted(history).select("cand_id", _said()).unionByName(_parted(incoming).select("cand_id", _said()))
+    said = scratch.write(said.dropDuplicates(["cand_id"]), "said")
+    both = pairs.join(said, "cand_id").join(said.select(F.col("cand_id").alias("near_id"), F.col("bag").alias("near_bag")), "near_id")
+    return both.where(_verifier(threshold)("bag", "near_bag")).groupBy("cand_id").agg(F.min("near_id").alias("near_id"))
