@@ -66,14 +66,16 @@ def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per target: its share, whether the share reached is within half a percent of all tokens, and uses over the cap, uses of another source and repeats of a use (none)."""
+    """Per target: its share, whether the share reached is within half a percent of all tokens or one record, and uses over the cap, uses of another source and repeats of a use (none)."""
     mix, targets = p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets")
-    uses = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_distinct("repeat_no").alias("turns"), F.sum("n_tokens").alias("n"))
+    uses = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_distinct("repeat_no").alias("turns"), F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest"))
     uses = uses.join(table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.collect_set("source").alias("of")), "doc_id")
-    got = uses.groupBy("source").agg(F.max("uses").alias("most"), F.count_if(F.col("uses") != F.col("turns")).alias("repeated_uses"), F.count_if(~F.array_contains("of", F.col("source"))).alias("foreign"), F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per target
+    got = uses.groupBy("source").agg(F.max("uses").alias("most"), F.count_if(F.col("uses") != F.col("turns")).alias("repeated_uses"), F.count_if(~F.array_contains("of", F.col("source"))).alias("foreign"), F.sum("n").alias("n"), F.max("longest").alias("longest"))
+    every = Window.partitionBy(F.lit(0))  # one row per target
+    near = F.greatest(F.lit(0.005), F.max("longest").over(every) / F.sum("n").over(every))
+    share = F.col("n") / F.sum("n").over(every)
     return targets.join(got, "source").select(
-        "source", "target_share", (F.abs(share - F.col("target_share")) < 0.005).alias("reached"), (F.col("most") > F.col("max_repeats")).alias("overused"), "repeated_uses", "foreign"
+        "source", "target_share", (F.abs(share - F.col("target_share")) < near).alias("reached"), (F.col("most") > F.col("max_repeats")).alias("overused"), "repeated_uses", "foreign"
     )
 
 
